@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnwick.llm import bpe, mixing, repetition
 from tarnwick.llm.topn import top_n
+from tarnwick.runtime import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,13 +33,85 @@ QUALIFY row_number() OVER (PARTITION BY qid, retriever ORDER BY score DESC, chun
 """
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only an empty or null text has no ids."""
+    return p6_ids(spark, sf_dir).where(F.size("ids") == 0).select("doc_id")
+
+
+P6_FOUND_SQL = "SELECT doc_id FROM documents WHERE text IS NULL OR text = ''"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; written once, as the fit reads them more than once."""
+    return stage(bpe.count_tokens(_table(spark, sf_dir, "documents"), "text", "doc_id", "source"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.fit(_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+    return mixing.report(plan).where("short").select("mix_id", "source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.fit(_sizes(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+    return mixing.report(plan)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _sizes(spark, sf_dir)
+    plan = stage(mixing.fit(sizes, _table(spark, sf_dir, "mix_targets")))
+    return mixing.select(sizes, plan)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: Documents in the labelled holdout of p8, at most about so many (chosen by hash).
+P8_HOLDOUT = 20_000
+P8_SHARE = 0.30
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    """Measured documents and the cutoffs from a holdout, labelled by the definition of p8."""
+    measured = stage(p8_shares(spark, sf_dir).withColumn("stratum", repetition.length_band(F.col("n_words"))))
+    every = max(1, measured.count() // P8_HOLDOUT)
+    holdout = measured.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).withColumn("bad", F.col("share") >= P8_SHARE)
+    return measured, repetition.controlled_cutoffs(holdout, "share", "bad", "stratum")
+
+
+def p8_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cutoffs = _p8(spark, sf_dir)
+    schema = "stratum string, cutoff double, n_good long, errors long, bound double, certified boolean"
+    return spark.createDataFrame([tuple(c.values()) for c in cutoffs], schema)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected by the controlled cutoffs (none is above the share asked for), then held to that share."""
+    measured, cutoffs = _p8(spark, sf_dir)
+    rejected = repetition.repetitive(measured, cutoffs, F.col("stratum"))
+    return rejected.where(F.col("share") >= P8_SHARE).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p6_found": p6_found,
+        "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_report": p7_report,
+        "p7_mix": p7_mix,
+        "p8_found": p8_found,
+        "p8_shares": p8_shares,
+        "p8_cutoffs": p8_cutoffs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
+        "p6_found": P6_FOUND_SQL,
     }
