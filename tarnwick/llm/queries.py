@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe, mixing, repetition
+from tarnwick.llm import borda, bpe, mixing, repetition
 from tarnwick.llm.topn import top_n
 from tarnwick.runtime import stage
 
@@ -33,6 +33,71 @@ QUALIFY row_number() OVER (PARTITION BY qid, retriever ORDER BY score DESC, chun
 """
 
 
+LISTS = ["dense", "lexical", "rerank"]
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = borda.positions(_table(spark, sf_dir, "search_hits"), "qid", "retriever", "chunk_id", "score")
+    weights = borda.run_weights(_table(spark, sf_dir, "retrieval_results"), _table(spark, sf_dir, "ablation_runs"))
+    return borda.borda(placed, weights, LISTS)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return borda.heads(_p4(spark, sf_dir), LISTS).withColumnRenamed("item", "chunk_id")
+
+
+def p4_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return borda.fused(_p4(spark, sf_dir)).select("qid", F.col("item").alias("chunk_id"), F.round("points", 6).alias("points"), "position")
+
+
+P4_LISTS_SQL = """
+WITH conf AS (
+  SELECT r.qid, any_value(c.use_dense) AS ud, any_value(c.use_lexical) AS ul, any_value(c.use_rerank) AS ur,
+         any_value(coalesce(lower(trim(c.fusion)), 'rrf') = 'weighted') AS weighted,
+         any_value(coalesce(c.dense_weight, 0.5)) AS w
+  FROM (SELECT qid, min(run_id) AS run_id FROM retrieval_results GROUP BY qid) r
+  JOIN (SELECT run_id, unnest(config) FROM ablation_runs) c USING (run_id) GROUP BY r.qid),
+d AS (
+  SELECT qid, retriever, chunk_id, max(score) AS score FROM search_hits
+  WHERE score IS NOT NULL AND NOT isnan(score) AND qid IS NOT NULL AND retriever IS NOT NULL AND chunk_id IS NOT NULL
+  GROUP BY qid, retriever, chunk_id),
+l AS (
+  SELECT d.*, CASE retriever
+      WHEN 'dense' THEN CASE WHEN conf.qid IS NULL THEN 1.0 WHEN NOT ud THEN 0.0 WHEN weighted THEN greatest(w, 0.0) ELSE 1.0 END
+      WHEN 'lexical' THEN CASE WHEN conf.qid IS NULL THEN 1.0 WHEN NOT ul THEN 0.0 WHEN weighted THEN greatest(1 - w, 0.0) ELSE 1.0 END
+      WHEN 'rerank' THEN CASE WHEN conf.qid IS NULL THEN 1.0 WHEN NOT ur THEN 0.0 ELSE 1.0 END END::DOUBLE AS wt
+  FROM d LEFT JOIN conf USING (qid)),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY qid, retriever ORDER BY score DESC, chunk_id) AS pos,
+         rank() OVER (PARTITION BY qid, retriever ORDER BY score DESC) + (count(*) OVER (PARTITION BY qid, retriever, score) - 1) / 2.0::DOUBLE AS rnk,
+         count(*) OVER (PARTITION BY qid, retriever) AS n
+  FROM l WHERE wt > 0)
+"""
+
+P4_FOUND_SQL = P4_LISTS_SQL + """,
+q AS (SELECT qid, count(DISTINCT retriever) AS lists FROM p GROUP BY qid),
+c AS (SELECT qid, chunk_id, count_if(pos <= 3) AS top3, count_if(pos <= 8) AS top8 FROM p GROUP BY qid, chunk_id),
+h AS (SELECT qid, count_if(top8 >= 2) AS contested, max(CASE WHEN top3 = lists AND lists >= 2 THEN chunk_id END) AS chunk_id
+      FROM c JOIN q USING (qid) GROUP BY qid)
+SELECT qid, chunk_id FROM h WHERE contested = 1 AND chunk_id IS NOT NULL
+"""
+
+P4_FUSED_SQL = P4_LISTS_SQL + """,
+q AS (SELECT qid, count(DISTINCT chunk_id) AS m FROM p GROUP BY qid),
+s AS (SELECT DISTINCT qid, retriever, wt, n FROM p),
+u AS (SELECT DISTINCT qid, chunk_id FROM p),
+v AS (
+  SELECT u.qid, u.chunk_id, s.retriever, s.wt * (q.m - coalesce(p.rnk, (s.n + 1 + q.m) / 2.0::DOUBLE)) AS pts
+  FROM u JOIN s USING (qid) JOIN q USING (qid)
+  LEFT JOIN p ON p.qid = u.qid AND p.chunk_id = u.chunk_id AND p.retriever = s.retriever),
+t AS (
+  SELECT qid, chunk_id, coalesce(sum(pts) FILTER (retriever = 'dense'), 0.0) + coalesce(sum(pts) FILTER (retriever = 'lexical'), 0.0)
+         + coalesce(sum(pts) FILTER (retriever = 'rerank'), 0.0) AS points
+  FROM v GROUP BY qid, chunk_id)
+SELECT qid, chunk_id, round(points, 6) AS points, row_number() OVER (PARTITION BY qid ORDER BY points DESC, chunk_id) AS position FROM t
+"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), "text", "doc_id")
 
@@ -99,6 +164,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p4_found": p4_found,
+        "p4_fused": p4_fused,
         "p6_found": p6_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
@@ -113,5 +180,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
+        "p4_found": P4_FOUND_SQL,
+        "p4_fused": P4_FUSED_SQL,
         "p6_found": P6_FOUND_SQL,
     }
