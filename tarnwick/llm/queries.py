@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import borda, bpe, mixing, repetition
+from tarnwick.llm import borda, bpe, knn, mixing, repetition
 from tarnwick.llm.topn import top_n
 from tarnwick.runtime import stage
 
@@ -33,6 +33,32 @@ QUALIFY row_number() OVER (PARTITION BY qid, retriever ORDER BY score DESC, chun
 """
 
 
+P2_DIM, P2_K, P2_SHARE, P2_RECALL = 128, 10, 0.95, 0.97
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn.neighbours(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding", P2_DIM, P2_K, P2_RECALL, least=P2_SHARE)
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+P2_SQL = """
+WITH v AS (
+  SELECT chunk_id, any_value(embedding) AS e FROM chunks
+  WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY chunk_id)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id
+WHERE list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) >= 0.95
+"""
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of the stated queries (chunks of documents whose id is divisible by 100), against all chunks."""
+    asks = F.pmod(F.col("doc_id"), F.lit(100)) == 0
+    near = knn.neighbours(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding", P2_DIM, P2_K, P2_RECALL, queries=asks)
+    return near.select("chunk_id", "neighbour", F.round("similarity", 6).alias("similarity"), "position")
+
+
 LISTS = ["dense", "lexical", "rerank"]
 
 
@@ -164,6 +190,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_neighbours": p2_neighbours,
         "p4_found": p4_found,
         "p4_fused": p4_fused,
         "p6_found": p6_found,
@@ -180,6 +208,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
+        "p2_found": P2_SQL,
         "p4_found": P4_FOUND_SQL,
         "p4_fused": P4_FUSED_SQL,
         "p6_found": P6_FOUND_SQL,
