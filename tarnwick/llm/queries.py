@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import borda, bpe, knn, mixing, repetition
+from tarnwick.llm import borda, bpe, knn, mixing, repetition, splitting
 from tarnwick.llm.topn import top_n
 from tarnwick.runtime import stage
 
@@ -59,6 +59,28 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("chunk_id", "neighbour", F.round("similarity", 6).alias("similarity"), "position")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the limits of their collection (null where it has none)."""
+    limits = _table(spark, sf_dir, "collections").select(F.col("name").alias("collection"), "chunk_size", "chunk_overlap").dropDuplicates(["collection"])
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "page_spans", "collection").join(limits, "collection", "left")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = splitting.oversized(_sized(spark, sf_dir), "doc_id", "text", F.col("chunk_size"), F.col("chunk_overlap"))
+    return big.select("doc_id")
+
+
+P3_SQL = r"""
+SELECT doc_id FROM documents LEFT JOIN collections ON collection = name
+WHERE len(regexp_extract_all(text, '[^ 	
+]+')) > coalesce(chunk_size, 512)
+"""
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(_sized(spark, sf_dir), "doc_id", "text", F.col("chunk_size"), F.col("chunk_overlap"), "page_spans")
+
+
 LISTS = ["dense", "lexical", "rerank"]
 
 
@@ -192,6 +214,8 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_neighbours": p2_neighbours,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_fused": p4_fused,
         "p6_found": p6_found,
@@ -209,6 +233,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
         "p2_found": P2_SQL,
+        "p3_found": P3_SQL,
         "p4_found": P4_FOUND_SQL,
         "p4_fused": P4_FUSED_SQL,
         "p6_found": P6_FOUND_SQL,
