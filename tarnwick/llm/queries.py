@@ -72,8 +72,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P3_SQL = r"""
 SELECT doc_id FROM documents LEFT JOIN collections ON collection = name
-WHERE len(regexp_extract_all(text, '[^ 	
-]+')) > coalesce(chunk_size, 512)
+WHERE len(regexp_extract_all(text, '[^ \t\n\f\r]+')) > coalesce(chunk_size, 512)
 """
 
 
