@@ -8,8 +8,12 @@ rows go to a Parquet table in the folder that all executors share
 from __future__ import annotations
 
 import gc
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +37,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so they need no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarnwick_shipped", False):
+        return
+    root, buffer = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    path = os.path.join(tempfile.mkdtemp(prefix="tarnwick-"), "tarnwick.zip")
+    Path(path).write_bytes(buffer.getvalue())
+    sc.addPyFile(path)
+    sc._tarnwick_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one is set only where none is."""
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
