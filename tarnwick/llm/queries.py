@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import borda, bpe, knn, mixing, repetition, splitting
+from tarnwick.llm import borda, bpe, knn, markup, mixing, repetition, splitting
 from tarnwick.llm.topn import top_n
 from tarnwick.runtime import stage
 
@@ -145,6 +145,15 @@ SELECT qid, chunk_id, round(points, 6) AS points, row_number() OVER (PARTITION B
 """
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which the minimum cut leaves any span on the side of residue."""
+    return markup.labelled(_table(spark, sf_dir, "documents"), "doc_id", "text").where("n_residue > 0").select("doc_id")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), "text", "doc_id")
 
@@ -217,6 +226,8 @@ def queries() -> dict[str, Query]:
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_fused": p4_fused,
+        "p5_found": p5_found,
+        "p5_clean": p5_clean,
         "p6_found": p6_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
