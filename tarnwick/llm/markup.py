@@ -84,7 +84,7 @@ _EM = re.compile(r"(?<![\w*])(\*)(?=[^\s*])[^*\n]+?(?<=[^\s*])(\*)(?![\w*])")
 _STRIKE = re.compile(r"(~~)(?=\S)[^~\n]+?(?<=\S)(~~)")
 _LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")
 _FOOT = re.compile(r"\[\^([^\[\]\s]+)\](:?)")
-_MDTABLE = re.compile(r"^\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$", re.M)
+_MDTABLE = re.compile(r"^\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\r?$", re.M)
 _PIPE = re.compile(r"^\|(?![-}|+])[^\n]*\|[ \t]*\r?$", re.M)
 _LIST = re.compile(r"^([ \t]*)([-+*])[ \t]+(\[[ xX]\][ \t]+)?(?=\S)", re.M)
 _NUM = re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+(?=\S)", re.M)
@@ -524,7 +524,7 @@ def clean(text: str, spans: list[Span] | None = None) -> list[tuple[str, str]]:
             if name in HEADS:
                 out.append(f"\n\n{head}{inner[-1] if inner else ''}\n\n")
             elif name == "item":
-                out.append("• ")
+                out.append("•")
             elif name == "footnote":
                 out.append(f" ({inner[-1] if inner else ''})")
             elif name in ("ldots", "dots"):
@@ -532,12 +532,12 @@ def clean(text: str, spans: list[Span] | None = None) -> list[tuple[str, str]]:
             elif name not in DROPPED:
                 out.append(inner[-1] if inner else name)
         elif kind == "escape":
-            out.append(v)
+            out.append(v + row if v == "\t" else v)
     out.append(text[at:])
-    return _blocks("".join(out), head, code, shut, form, row)
+    return _blocks("".join(out), head, code, shut, form, row, wiki > other)
 
 
-def _blocks(text: str, head: str, code: str, shut: str, form: str, row: str) -> list[tuple[str, str]]:
+def _blocks(text: str, head: str, code: str, shut: str, form: str, row: str, wiki: bool) -> list[tuple[str, str]]:
     blocks: list[tuple[str, str]] = []
     for part in re.split(f"([{code}{form}][^{shut}]*{shut}?)", text):
         if part[:1] in (code, form):
@@ -556,8 +556,14 @@ def _blocks(text: str, head: str, code: str, shut: str, form: str, row: str) ->
                 j = i + 1
                 while j < len(lines) and kind != "heading" and head not in lines[j] and (row in lines[j]) == (kind == "table") and (bool(re.match(r"[ \t]*(?:[•☐☑]|\d{1,3}\.) ", lines[j])) == (kind == "list")):
                     j += 1
-                body = "\n".join(lines[i:j]).replace(head, "").replace(row, "").strip(" \n")
-                if body:
+                body = "\n".join(lines[i:j]).replace(head, "").replace(row, "").strip("\n")
+                if kind == "text" and wiki and all(x[0] == " " for x in lines[i:j]):
+                    kind, body = "code", re.sub(r"^ ", "", body, flags=re.M)
+                elif kind != "code":
+                    body = body.strip(" ")
+                if body and kind in ("list", "table") and blocks and blocks[-1][0] == kind:
+                    blocks[-1] = (kind, blocks[-1][1] + "\n" + body)
+                elif body:
                     blocks.append((kind, body))
                 i = j
     return blocks
