@@ -1,21 +1,296 @@
-"""Named queries over the test tables, with equivalent SQL where SQL can express them."""
+"""Named queries over the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwick.config import RetrievalConfig
+from tarnwick.functions import ids, text
+from tarnwick.functions.embedding import HashEmbedder, embed
+from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
+from tarnwick.plans import retrieval
+from tarnwick.plans.sql import SQL
+from tarnwick.sources import files
+from tarnwick.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, each once; rows written again have the same content."""
+    chunks = table(spark, d, "chunks").where("chunk_id IS NOT NULL")
+    return chunks.groupBy("chunk_id").agg(F.max("doc_id").alias("doc_id"), F.max("collection").alias("collection"), F.max("text").alias("text"), F.max("start_char").alias("start_char"), F.max("token_count").alias("token_count"))
+
+
+def golden(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.golden_once(table(spark, d, "golden_set"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid(spark, d)
+
+
+def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
+    stats = bm25.idf(bm25.tokenised(corpus(spark, d)))
+    return stats.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.top_k(corpus(spark, d), golden(spark, d), 10)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    return rows, rows.where(F.pmod(F.col("chunk_id").cast("long"), F.lit(100)) == 0).select(F.col("chunk_id").alias("qid"), "embedding")
+
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows, asked = _vectors(spark, d)
+    return dense.top_k(rows, asked, 10, 64)
+
+
+def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
+    rows, asked = _vectors(spark, d)
+    return dense.top_k(rows.where("label = 3"), asked, 10, 64)
+
+
+def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "metadata")
+    wanted = {"title": "Notes on the seasonal passage"}
+    return filters.filter_chunks(chunks, table(spark, d, "documents"), wanted).select("chunk_id", "doc_id").distinct()
+
+
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    vectors = corpus(spark, d).select("chunk_id", embed(F.col("text"), HashEmbedder()).alias("v"))
+    return vectors.select("chunk_id", F.posexplode("v").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 9))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.distinct_hits(table(spark, d, "search_hits"))
+
+
+def _pair(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).where(F.col("retriever").isin("dense", "lexical"))
+
+
+def rrf(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.rrf(_pair(spark, d)).select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
+
+
+def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fuse(_pair(spark, d), 2, "weighted", dense_weight=0.7).select("qid", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
+    pair = _pair(spark, d)
+    return fusion.candidate_counts(pair, fusion.rrf(pair))
+
+
+def hybrid(spark: SparkSession, d: str) -> DataFrame:
+    config = RetrievalConfig(use_rerank=False, final_top_k=10)
+    found = retrieval.retrieve(corpus(spark, d), golden(spark, d), config)
+    return found.select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    short = rerank.shortlist(fusion.rrf(_pair(spark, d)), 20)
+    asked = golden(spark, d).select("qid", "question")
+    return rerank.rerank(short.join(asked, "qid").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id"), 5)
+
+
+def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(spark, d).select("qid", "chunk_id", "fused_rank", "rerank_score", "final_rank", "rank_movement")
+
+
+def refusal(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hits(spark, d).withColumn("rerank_score", F.when(F.col("retriever") == "rerank", F.col("score")))
+    per = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"), F.max("rerank_score").alias("rerank_score"))
+    return answer.refusal(per, table(spark, d, "retrieval_results"))
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    results = fusion.rrf(_pair(spark, d)).where("fused_rank <= 5").select("qid", "chunk_id", F.col("fused_rank").alias("rank"))
+    asked = golden(spark, d)
+    known = results.join(asked.select("qid"), "qid", "left_semi").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
+    return evaluate.relevance(known, asked)
+
+
+def relevance(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d)
+
+
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    totals = evaluate.relevant_total(corpus(spark, d), golden(spark, d))
+    return evaluate.retrieval_metrics(_flags(spark, d), totals, 5)
+
+
+def breakdowns(spark: SparkSession, d: str) -> DataFrame:
+    asked = golden(spark, d).select("qid", "category", "difficulty")
+    refused = refusal(spark, d).select("qid", "refused")
+    rows = retrieval_metrics(spark, d).join(asked, "qid").join(refused, "qid", "left").withColumn("refused", F.coalesce("refused", F.lit(True)))
+    return evaluate.breakdowns(rows)
+
+
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latency(table(spark, d, "retrieval_results"), "total_ms", "run_id")
+
+
+def golden_counts(spark: SparkSession, d: str) -> DataFrame:
+    return golden(spark, d).groupBy("category", "difficulty").agg(F.count("*").alias("n"))
+
+
+def golden_validate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.validate_golden(table(spark, d, "golden_set"), table(spark, d, "documents"))
+
+
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_no", "sentence"))
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return answer.number_sources(_reranked(spark, d)).select("qid", "source_no", "chunk_id", "text")
+
+
+def extractive(spark: SparkSession, d: str) -> DataFrame:
+    return answer.extractive(_sources(spark, d), golden(spark, d))
+
+
+def _golden_answers(spark: SparkSession, d: str) -> DataFrame:
+    return golden(spark, d).where("answer != ''").select("qid", F.concat("answer", F.lit(" [1] [9]")).alias("answer"))
+
+
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return answer.citations(_golden_answers(spark, d), _sources(spark, d))
+
+
+def sentence_grounding(spark: SparkSession, d: str) -> DataFrame:
+    return answer.sentence_grounding(_golden_answers(spark, d), _sources(spark, d))
+
+
+def grounding(spark: SparkSession, d: str) -> DataFrame:
+    return answer.grounding(_golden_answers(spark, d), _sources(spark, d))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.respond(_reranked(spark, d).withColumn("score", F.col("rerank_score")), golden(spark, d))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "collections").select(F.col("name").alias("collection"), "chunk_size", "chunk_overlap")
+    return table(spark, d, "documents").select("doc_id", "text", "page_spans", "collection").join(limits, "collection", "left")
+
+
+def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = _sized(spark, d)
+    made = chunking.fixed_token(docs, F.coalesce("chunk_size", F.lit(512)), F.coalesce("chunk_overlap", F.lit(64)))
+    return made.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("largest"), F.sum("token_count").alias("tokens"))
+
+
+def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.recursive_structural(_sized(spark, d), F.coalesce("chunk_size", F.lit(512)))
+
+
+def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.semantic_groups(chunking.sentence_table(table(spark, d, "documents")))
+
+
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.semantic(table(spark, d, "documents"))
+
+
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("doc_id", "start_char", ids.chunk_id(F.col("doc_id"), F.col("start_char")).alias("chunk_id"))
+    return chunks.distinct()
+
+
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").groupBy("collection").agg(ids.fingerprint(F.col("chunk_id")).alias("fingerprint"))
+
+
+def document_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.title(F.col("metadata"), F.col("source_path")).alias("title"))
+
+
+def change_detection(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", ids.content_hash(F.concat_ws("", "text", F.when(F.col("collection") == "notes", " ").otherwise(""))).alias("content_hash"))
+    known = table(spark, d, "documents").where("ingested_at < TIMESTAMP '2026-04-01'").select("doc_id", "content_hash")
+    return store.changes(docs, known)
+
+
+def _after_upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("collection = 'notes'").select("doc_id")
+    rows = docs.select(ids.chunk_id(F.col("doc_id"), F.lit(0)).alias("chunk_id"), "doc_id")
+    return store.upserted(corpus(spark, d).select("chunk_id", "doc_id"), docs, rows)
+
+
+def upsert_state(spark: SparkSession, d: str) -> DataFrame:
+    return _after_upsert(spark, d)
+
+
+def delete_state(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "documents").where("collection = 'scans'").select("doc_id")
+    return store.deleted(corpus(spark, d).select("chunk_id", "doc_id"), gone)
+
+
+def list_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the listing; the limit is the feature."""
+    return filters.page(store.listing(table(spark, d, "documents"), corpus(spark, d)), "doc_id", 50, 100)
+
+
+def count_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).groupBy("collection").agg(F.count("*").alias("n_chunks"))
+
+
+def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    error = table(spark, d, "documents").select("doc_id", F.when(blank, F.concat(F.lit("no text: "), "source_path")).alias("error"))
+    statuses = change_detection(spark, d).join(error, "doc_id").withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status")))
+    return store.ingest_summary(statuses, corpus(spark, d))
+
+
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return files.blocks_of(table(spark, d, "documents").where("media_type = 'text/html'"))
+
+
+def html_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return files.markdown_of(table(spark, d, "documents").where("media_type = 'text/html'"))
+
+
+def approximate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.approximate_tokens(F.col("text")).alias("n_tokens"))
+
+
+def token_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return streams.token_bucket(table(spark, d, "events"), per_minute=1 / 30, capacity=2.0)
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streams.windowed(table(spark, d, "events"))
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return streams.sessions(table(spark, d, "events"), "2 hours")
+
+
+NAMED: list[Query] = [
+    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap,
+    refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, citations,
+    sentence_grounding, grounding, answers, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
+    change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
+    token_bucket, event_windows, event_sessions,
+]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in NAMED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
