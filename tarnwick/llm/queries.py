@@ -33,7 +33,7 @@ QUALIFY row_number() OVER (PARTITION BY qid, retriever ORDER BY score DESC, chun
 """
 
 
-P2_DIM, P2_K, P2_SHARE, P2_RECALL = 128, 10, 0.95, 0.97
+P2_DIM, P2_K, P2_SHARE, P2_RECALL = 128, 10, 0.95, 0.99
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
