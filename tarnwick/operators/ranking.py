@@ -91,9 +91,9 @@ def blocked_top_k(corpus: DataFrame, blocks: list[tuple[list[str], object]], sco
     return top_k(out, "score", k, "qid")
 
 
-def query_blocks(queries: DataFrame, qid: str, payload: str, size: int = BLOCK) -> Iterator[tuple[list[str], list]]:
+def query_blocks(queries: DataFrame, qid: str, payload: str, size: int | None = None) -> Iterator[tuple[list[str], list]]:
     """The query set in blocks of a bounded size, without a global order."""
-    n = max(1, -(-queries.count() // size))
+    n = max(1, -(-queries.count() // (size or BLOCK)))
     keyed = queries.select(F.col(qid).cast("string").alias("q"), F.col(payload).alias("p"))
     for i in range(n):
         rows = keyed.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i).collect()  # about ``size`` rows

@@ -42,7 +42,7 @@ def take(pdf: pd.DataFrame, tokens: float, last: float | None, rate: float, capa
     return out, tokens, last if last is not None else 0.0
 
 
-def token_bucket(events: DataFrame, per_minute: float = 60.0, capacity: float | None = None) -> DataFrame:
+def token_bucket(events: DataFrame, per_minute: float = 60.0, capacity: float | None = None, late: str = "10 minutes") -> DataFrame:
     """A decision for every event.  On a stream, the state of each user survives batches and expires when idle.
 
     A user's events are taken in order, in Arrow batches, so a busy user is never held as a whole.
@@ -59,11 +59,12 @@ def token_bucket(events: DataFrame, per_minute: float = 60.0, capacity: float |
         held = pd.concat(list(parts))
         rows, tokens, last = take(held, tokens, last, rate, cap)
         state.update((tokens, last))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + idle)
         yield pd.DataFrame(rows, columns=["user_id", "event_id", "allowed", "tokens"])
 
     if events.isStreaming:
-        return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, DECISION, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        watched = events.select("user_id", "event_id", "ts").withWatermark("ts", late)
+        return watched.groupBy("user_id").applyInPandasWithState(step, DECISION, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, tokens, last = None, cap, None
