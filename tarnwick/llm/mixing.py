@@ -5,7 +5,7 @@ mix the budget is its target, or all it has times the allowed repeats if that is
 less.  Whole passes over the source take up the most of it; of the rest, every
 length first gives its proportional part (so that lengths stay as they are in the
 source), and a bounded-knapsack dynamic program over the lengths fills what is
-left as closely as the lengths allow.  Then the wanted number of documents of each
+left, the last ``FIT`` tokens and the rounding, as closely as the lengths allow.  Then the wanted number of documents of each
 length is selected in a seeded order.
 
 Only histograms are gathered, one source in a task: as many rows as a source has
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Tokens that the dynamic program fits exactly; above it lengths are taken greedily.
-FIT = 1 << 16
+FIT = 1 << 14
 BUCKETS = 4096
 
 FITTED = T.StructType(
@@ -56,16 +56,17 @@ def source_key(source: Column) -> Column:
 def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the total comes as near below ``budget`` as found.
 
-    Proportional parts first, then the longest that fit while more than FIT is
-    left, then a bounded knapsack over bit sets (bit t of ``reach``: t tokens can be
-    made), which is exact.
+    Proportional parts of all but FIT tokens first, then the longest that fit while more
+    than FIT is left, then a bounded knapsack over bit sets (bit t of ``reach``: t tokens
+    can be made), which is exact for what is left.
     """
     everything = sum(n * c for n, c in zip(lengths, counts))
     if budget <= 0 or not everything:
         return [0] * len(lengths)
     if budget >= everything:
         return list(counts)
-    take = [c * budget // everything if n else 0 for n, c in zip(lengths, counts)]
+    bulk = max(0, budget - FIT)
+    take = [c * bulk // everything if n else 0 for n, c in zip(lengths, counts)]
     left = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted((i for i, n in enumerate(lengths) if n), key=lambda i: -lengths[i])
     for i in order:
