@@ -182,6 +182,44 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.respond(_reranked(spark, d).withColumn("score", F.col("rerank_score")), golden(spark, d))
 
 
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered source blocks, labelled by the document's title."""
+    titles = table(spark, d, "documents").select("doc_id", text.title(F.col("metadata"), F.col("source_path")).alias("title"))
+    owners = corpus(spark, d).select("chunk_id", "doc_id").join(titles, "doc_id", "left")
+    labelled = _sources(spark, d).join(owners, "chunk_id").withColumn("label", F.coalesce("title", F.col("doc_id").cast("string")))
+    return answer.prompt(labelled)
+
+
+def citation_precision(spark: SparkSession, d: str) -> DataFrame:
+    said = answer.extractive(_sources(spark, d), golden(spark, d))
+    sources, asked = _sources(spark, d), golden(spark, d)
+    flags = evaluate.relevance(sources.withColumn("rank", F.col("source_no")), asked)
+    return evaluate.citation_precision(answer.citations(said, sources), flags, asked)
+
+
+def ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The default, each retriever alone and weighted fusion, without reranking, over the golden questions."""
+    configs = [RetrievalConfig(use_rerank=False), RetrievalConfig(use_rerank=False, use_lexical=False), RetrievalConfig(use_rerank=False, use_dense=False), RetrievalConfig(use_rerank=False, fusion="weighted")]
+    return retrieval.ablate(corpus(spark, d), golden(spark, d), configs)
+
+
+def multi_query(spark: SparkSession, d: str) -> DataFrame:
+    """Fused results of each golden question and up to three logged paraphrases, one list per variant and retriever."""
+    asked = golden(spark, d)
+    logged = table(spark, d, "retrieval_results").groupBy("qid").agg(F.max("expanded_queries").alias("e")).join(asked.select("qid"), "qid", "left_semi")
+    variants = logged.select("qid", F.posexplode("e").alias("i", "question")).where("question IS NOT NULL").withColumn("variant", F.col("i") + 1)
+    config = RetrievalConfig(expansion="multi_query", use_rerank=False, top_k_dense=20, top_k_lexical=20)
+    lists, _ = retrieval.candidates(corpus(spark, d), asked, config, paraphrases=variants)
+    return fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
+
+
+def score_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 1,000 rerank scores by query and chunk; the limit is the feature."""
+    logged = table(spark, d, "search_hits").where("retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL")
+    entries = logged.groupBy(F.col("qid").alias("query_key"), "chunk_id", F.col("logged_at").alias("used_at")).agg(F.max("score").alias("rerank_score")).select("query_key", "chunk_id", "rerank_score", "used_at")
+    return rerank.update_cache(entries.where("false"), entries, 1000)
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "collections").select(F.col("name").alias("collection"), "chunk_size", "chunk_overlap")
     return table(spark, d, "documents").select("doc_id", "text", "page_spans", "collection").join(limits, "collection", "left")
@@ -282,7 +320,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 NAMED: list[Query] = [
     bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap,
     refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, citations,
-    sentence_grounding, grounding, answers, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
+    sentence_grounding, grounding, answers, prompts, citation_precision, ablation, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
     change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
     token_bucket, event_windows, event_sessions,
 ]

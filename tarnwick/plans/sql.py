@@ -209,13 +209,20 @@ SQL: dict[str, str] = {
         coalesce(loose, 0) AS n_unresolved, round(coalesce(mean, 0.0), 9) AS mean_similarity
     FROM ans LEFT JOIN (SELECT qid, count(*) AS n, count_if(NOT grounded) AS flagged, avg(max_similarity) AS mean FROM sg GROUP BY qid) s USING (qid)
     LEFT JOIN (SELECT qid, count(*) AS loose FROM cit WHERE NOT resolved GROUP BY qid) l USING (qid)""",
+    "prompts": _with(*_TO_RERANK, _SENT_SOURCES)
+    + f"""SELECT qid, string_agg('[' || source_no || '] (' || coalesce(nullif({_strip("d.metadata['title']")}, ''), list_last(string_split(d.source_path, '/')), c.doc_id::VARCHAR) || ') ' || src.text, chr(10) || chr(10) ORDER BY source_no) AS sources
+    FROM src JOIN c USING (chunk_id) LEFT JOIN documents d ON d.doc_id = c.doc_id GROUP BY qid""",
+    "score_cache": """SELECT qid AS query_key, chunk_id, score AS rerank_score, logged_at AS used_at FROM (
+        SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY logged_at DESC) AS n FROM (
+        SELECT qid, chunk_id, logged_at, max(score) AS score FROM search_hits WHERE retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL GROUP BY ALL))
+        WHERE n = 1 ORDER BY logged_at DESC, qid, chunk_id LIMIT 1000""",
     "fixed_chunks": f"""SELECT doc_id, CASE WHEN n <= size THEN 1 ELSE ceil((n - size) / (size - overlap)::DOUBLE)::BIGINT + 1 END AS n_chunks, least(n, size) AS largest,
         n + (CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - overlap)::DOUBLE)::BIGINT END) * overlap AS tokens FROM (
         SELECT doc_id, len(regexp_extract_all(text, '[^{_WS[1:-1]}]+')) AS n, coalesce(chunk_size, 512) AS size, coalesce(chunk_overlap, 64) AS overlap
         FROM documents LEFT JOIN collections ON collection = name) WHERE n > 0""",
     "chunk_ids": f"SELECT DISTINCT doc_id, start_char, {_UUID5.format(name='doc_id::VARCHAR || chr(58) || start_char::VARCHAR')} AS chunk_id FROM chunks",
     "fingerprints": "SELECT collection, sha256(string_agg(chunk_id || chr(0), '' ORDER BY chunk_id)) AS fingerprint FROM (SELECT DISTINCT collection, chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY collection",
-    "document_titles": f"SELECT doc_id, coalesce(nullif({_strip(chr(109) + 'etadata[' + chr(39) + 'title' + chr(39) + ']')}, ''), list_last(string_split(source_path, '/'))) AS title FROM documents",
+    "document_titles": f"SELECT doc_id, coalesce(nullif({_strip("metadata['title']")}, ''), list_last(string_split(source_path, '/'))) AS title FROM documents",
     "change_detection": _with(_CHANGES) + "SELECT * FROM chg",
     "upsert_state": _with(_CORPUS) + f"""SELECT chunk_id, doc_id FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE collection = 'notes')
         UNION ALL SELECT {_UUID5.format(name="doc_id::VARCHAR || ':0'")} AS chunk_id, doc_id FROM documents WHERE collection = 'notes'""",
