@@ -236,7 +236,8 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.semantic_groups(chunking.sentence_table(table(spark, d, "documents")))
+    groups = chunking.semantic_groups(chunking.sentence_table(table(spark, d, "documents")))
+    return groups.select(F.col("doc_id").cast("long").alias("doc_id"), "sent_no", F.round("distance", 6).alias("distance"), "group_no")
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -220,6 +220,13 @@ SQL: dict[str, str] = {
         n + (CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - overlap)::DOUBLE)::BIGINT END) * overlap AS tokens FROM (
         SELECT doc_id, len(regexp_extract_all(text, '[^{_WS[1:-1]}]+')) AS n, coalesce(chunk_size, 512) AS size, coalesce(chunk_overlap, 64) AS overlap
         FROM documents LEFT JOIN collections ON collection = name) WHERE n > 0""",
+    "semantic_groups": f"""WITH sen AS (SELECT doc_id, i - 1 AS sent_no, s AS sentence, doc_id || ':' || (i - 1) AS k FROM (
+        SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_sentences('text')} AS l FROM documents))),
+    v AS {_hashed('sen', 'k', 'sentence')},
+    sim AS (SELECT b.k, sum(x.w * y.w) AS s FROM sen b JOIN v x ON x.k = b.k JOIN v y ON y.k = b.doc_id || ':' || (b.sent_no - 1) AND y.bucket = x.bucket GROUP BY b.k),
+    d AS (SELECT doc_id, sent_no, CASE WHEN sent_no > 0 THEN round(1.0 - coalesce(s, 0.0), 9) + 0.0 END AS distance FROM sen LEFT JOIN sim USING (k)),
+    l AS (SELECT *, round(quantile_cont(distance, 0.95) OVER (PARTITION BY doc_id), 9) AS limit_ FROM d)
+    SELECT doc_id, sent_no, round(distance, 6) AS distance, sum(CASE WHEN distance > limit_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_no ROWS UNBOUNDED PRECEDING) AS group_no FROM l""",
     "chunk_ids": f"SELECT DISTINCT doc_id, start_char, {_UUID5.format(name='doc_id::VARCHAR || chr(58) || start_char::VARCHAR')} AS chunk_id FROM chunks",
     "fingerprints": "SELECT collection, sha256(string_agg(chunk_id || chr(0), '' ORDER BY chunk_id)) AS fingerprint FROM (SELECT DISTINCT collection, chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY collection",
     "document_titles": f"SELECT doc_id, coalesce(nullif({_strip("metadata['title']")}, ''), list_last(string_split(source_path, '/'))) AS title FROM documents",
