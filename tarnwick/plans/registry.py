@@ -13,6 +13,7 @@ from tarnwick.functions.embedding import HashEmbedder, embed
 from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
 from tarnwick.plans import retrieval
 from tarnwick.plans.sql import SQL
+from tarnwick.runtime import stage
 from tarnwick.sources import files
 from tarnwick.streaming import events as streams
 
@@ -99,9 +100,18 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
 
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every logged query with its text; the golden question where none was logged, and no words where there is neither."""
+    logged = table(spark, d, "retrieval_results").where("qid IS NOT NULL").groupBy("qid").agg(F.max("query").alias("query"))
+    known = logged.join(golden(spark, d).select("qid", "question"), "qid", "full")
+    known = known.join(_pair(spark, d).select("qid").distinct(), "qid", "full")
+    return known.select("qid", F.coalesce("query", "question", F.lit("")).alias("question"))
+
+
+def _reranked(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    """Of the golden questions, as the SQL has it, or of those asked."""
     short = rerank.shortlist(fusion.rrf(_pair(spark, d)), 20)
-    asked = golden(spark, d).select("qid", "question")
+    asked = (golden(spark, d) if asked is None else asked).select("qid", "question")
     return rerank.rerank(short.join(asked, "qid").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id"), 5)
 
 
@@ -109,6 +119,11 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(spark, d).select("qid", "chunk_id", "fused_rank", "rerank_score", "final_rank", "rank_movement")
 
 
+def rerank_all(spark: SparkSession, d: str) -> DataFrame:
+    """rerank_overlap over every query of the hits, not only those of the golden set."""
+    return _reranked(spark, d, _asked(spark, d)).select("qid", "chunk_id", "fused_rank", "rerank_score", "final_rank", "rank_movement")
+
+
 def refusal(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d).withColumn("rerank_score", F.when(F.col("retriever") == "rerank", F.col("score")))
     per = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"), F.max("rerank_score").alias("rerank_score"))
@@ -162,6 +177,18 @@ def extractive(spark: SparkSession, d: str) -> DataFrame:
     return answer.extractive(_sources(spark, d), golden(spark, d))
 
 
+def _all_reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The results of every query and the queries; written once, as the plans above read them many times."""
+    asked = stage(_asked(spark, d))
+    return stage(_reranked(spark, d, asked)), asked
+
+
+def extractive_all(spark: SparkSession, d: str) -> DataFrame:
+    """extractive over every query, not only those of the golden set."""
+    found, asked = _all_reranked(spark, d)
+    return answer.extractive(answer.number_sources(found), asked)
+
+
 def _golden_answers(spark: SparkSession, d: str) -> DataFrame:
     return golden(spark, d).where("answer != ''").select("qid", F.concat("answer", F.lit(" [1] [9]")).alias("answer"))
 
@@ -179,17 +206,28 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.respond(_reranked(spark, d).withColumn("score", F.col("rerank_score")), golden(spark, d))
+    """Every query, answered or refused; one without a known text has no words, scores 0 and is refused."""
+    found, asked = _all_reranked(spark, d)
+    return retrieval.respond(found.withColumn("score", F.col("rerank_score")), asked)
 
 
-def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered source blocks, labelled by the document's title."""
+def _prompts(spark: SparkSession, d: str, sources: DataFrame) -> DataFrame:
     titles = table(spark, d, "documents").select("doc_id", text.title(F.col("metadata"), F.col("source_path")).alias("title"))
     owners = corpus(spark, d).select("chunk_id", "doc_id").join(titles, "doc_id", "left")
-    labelled = _sources(spark, d).join(owners, "chunk_id").withColumn("label", F.coalesce("title", F.col("doc_id").cast("string")))
+    labelled = sources.join(owners, "chunk_id").withColumn("label", F.coalesce("title", F.col("doc_id").cast("string")))
     return answer.prompt(labelled)
 
 
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered source blocks, labelled by the document's title."""
+    return _prompts(spark, d, _sources(spark, d))
+
+
+def prompts_all(spark: SparkSession, d: str) -> DataFrame:
+    """prompts over every query, not only those of the golden set."""
+    return _prompts(spark, d, answer.number_sources(_all_reranked(spark, d)[0]))
+
+
 def citation_precision(spark: SparkSession, d: str) -> DataFrame:
     said = answer.extractive(_sources(spark, d), golden(spark, d))
     sources, asked = _sources(spark, d), golden(spark, d)
@@ -319,9 +357,9 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMED: list[Query] = [
-    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap,
-    refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, citations,
-    sentence_grounding, grounding, answers, prompts, citation_precision, ablation, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
+    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap, rerank_all,
+    refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
+    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
     change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
     token_bucket, event_windows, event_sessions,
 ]
