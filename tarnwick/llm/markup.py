@@ -53,12 +53,14 @@ TAGS = (
 ).split()
 VOID = set("base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form head header html main nav ol p pre section table tbody tfoot thead title ul".split())
+# Element names that stand for nothing else in angle brackets, so one that is never closed is still a tag.
+CERTAIN = set("abbr acronym bdi bdo blockquote colgroup dd dfn div dl dt em fieldset figcaption frameset h1 h2 h3 h4 h5 h6 html iframe kbd li noscript nowiki ol optgroup pre rp rt ruby samp strike strong sub sup svg tbody td textarea tfoot th thead tr tt ul".split())
 # Python's double-underscore names, which are identifiers and no bold text.
 DUNDER = set("abs add all and annotations bool bytes call class contains copy del delattr delitem dict dir doc enter eq exit file float format ge get getattr getitem gt hash iadd import index init int invert iter le len lt main missing mod module mul name ne neg new next or path pos pow qualname radd reduce repr reversed rmul round set setattr setitem sizeof slots str sub truediv version xor".split())
 
 #: Log-odds of residue by kind of span.
 WEIGHTS = {
-    "tag": 6.0, "bare": -1.0, "element": 8.0, "comment": 8.0, "entity": 6.0, "escaped": 6.0, "atx": 4.0, "setext": 4.0, "fence": 6.0,
+    "tag": 6.0, "bare": -1.0, "open": 3.0, "element": 8.0, "comment": 8.0, "entity": 6.0, "escaped": 6.0, "atx": 4.0, "setext": 4.0, "fence": 6.0,
     "tick": 4.0, "bold": 5.0, "under": 3.0, "dunder": -6.0, "em": 4.0, "strike": 5.0, "link": 6.0, "image": 6.0, "foot": 6.0, "mdtable": 6.0,
     "pipe": 2.0, "task": 5.0, "dash": 1.5, "num": -0.5, "quote": 3.0, "rule": 2.0, "wikilink": 6.0, "template": 6.0, "wikihead": 5.0,
     "apostrophes": 5.0, "wikitable": 6.0, "command": 6.0, "math": 5.0, "escape": 3.0,
@@ -195,11 +197,19 @@ def candidates(text: str) -> list[Span]:
     if "<" in text:
         found = list(_TAG.finditer(text))
         closes = {m[2].lower() for m in found if m[1]}
+        at, fresh = 0, True
         for m in found:
+            gap = text[at : m.start()]
+            line = max(gap.rfind("\n"), gap.rfind("\r"))
+            fresh = (fresh or line >= 0) and not gap[line + 1 :].strip()  # only blanks and tags before it in its line
+            at = m.end()
             if free(m.start()):
                 name = m[2].lower()
                 plain = not m[1] and not m[3] and name not in VOID and name not in closes
-                add(m.start(), m.end(), "bare" if plain else "tag", m[0])
+                if plain and (name in CERTAIN or (name in BLOCK and fresh)):
+                    add(m.start(), m.end(), "tag", m[0], weight=WEIGHTS["open"])
+                else:
+                    add(m.start(), m.end(), "bare" if plain else "tag", m[0])
     if "&" in text:
         gone: list[tuple[int, int]] = []
         for m in _ESCAPED.finditer(text):

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.llm import markup
 from tarnwick.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,14 @@ def test_every_query_is_reranked_and_answered(spark):
         assert sorted(r["qid"] for r in registry.queries()[name](spark, SF).collect()) == sorted(logged | answerable | golden)
     both = registry.rerank_all(spark, SF).join(registry.golden(spark, SF).select("qid"), "qid", "left_semi")
     assert sorted(map(repr, both.collect())) == sorted(map(repr, registry.rerank_overlap(spark, SF).collect()))
+
+
+@pytest.mark.parametrize("text", ["<p>one", "one\n\n<P>two\n<P>three", "<div>\nx", "<li>one\n<li>two", "<tr><td>a<td>b", "<H1>T</H1>\n\n<P>Neither of them", "<ul><p>x"])
+def test_unclosed_elements_are_markup(text):
+    assert [s.kind for s in markup.residue(text)] == [s.kind for s in markup.candidates(text)] != []
+    assert "<" not in "".join(b for _, b in markup.clean(text))
+
+
+@pytest.mark.parametrize("text", ["a Box<p> or a List<a>", "set <title> and <object> first", "read from <table> into <body>", "the <s> token"])
+def test_placeholders_are_content(text):
+    assert not markup.residue(text)
