@@ -36,13 +36,16 @@ class RetrievalConfig:
             raise ConfigError("rerank_candidates must be at least final_top_k when reranking")
         if self.rrf_k <= 0:
             raise ConfigError("rrf_k must be positive")
+        if self.chunk_strategy not in ("recursive_structural", "fixed_token", "semantic"):
+            raise ConfigError(f"unknown chunk strategy {self.chunk_strategy!r}")
 
     @property
     def label(self) -> str:
         base = "hybrid" if self.use_dense and self.use_lexical else "dense only" if self.use_dense else "lexical only"
         if self.use_dense and self.use_lexical and self.fusion == "weighted":
             base += " (weighted)"
-        return base + (" + rerank" if self.use_rerank else "") + ("" if self.expansion == "none" else f" + {self.expansion}")
+        chunks = {"fixed_token": ", fixed-token chunking", "semantic": ", semantic chunking"}.get(self.chunk_strategy, "")
+        return base + (" + rerank" if self.use_rerank else "") + ("" if self.expansion == "none" else f" + {self.expansion}") + chunks
 
     def with_top_k(self, k: int) -> RetrievalConfig:
         """A request's top_k also raises the shortlist if that is smaller."""

@@ -235,10 +235,38 @@ def citation_precision(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.citation_precision(answer.citations(said, sources), flags, asked)
 
 
+#: The reference's matrix without the two rows that need a language model, and weighted fusion without reranking.
+ABLATION = [
+    RetrievalConfig(use_lexical=False, use_rerank=False), RetrievalConfig(use_dense=False, use_rerank=False), RetrievalConfig(use_rerank=False), RetrievalConfig(),
+    RetrievalConfig(fusion="weighted"), RetrievalConfig(chunk_strategy="fixed_token"), RetrievalConfig(chunk_strategy="semantic"), RetrievalConfig(fusion="weighted", use_rerank=False),
+]
+
+
+def _ablated(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Hits of every configuration over the golden questions, the documents' chunks by strategy, and the questions."""
+    docs, asked = table(spark, d, "documents"), stage(golden(spark, d))
+    chunks = {s: stage(chunking.chunker(s)(docs).select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "text")) for s in dict.fromkeys(c.chunk_strategy for c in ABLATION)}
+    return retrieval.ablate(chunks, asked, ABLATION), chunks, asked
+
+
+def ablation_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _ablated(spark, d)[0].drop("text")
+
+
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    """The default, each retriever alone and weighted fusion, without reranking, over the golden questions."""
-    configs = [RetrievalConfig(use_rerank=False), RetrievalConfig(use_rerank=False, use_lexical=False), RetrievalConfig(use_rerank=False, use_dense=False), RetrievalConfig(use_rerank=False, fusion="weighted")]
-    return retrieval.ablate(corpus(spark, d), golden(spark, d), configs)
+    """Means of the five metrics per configuration, over the answerable golden questions."""
+    found, chunks, asked = _ablated(spark, d)
+    found = stage(found.withColumnRenamed("final_rank", "rank"))
+    totals = {s: stage(evaluate.relevant_total(c, asked)) for s, c in chunks.items()}
+    answerable = asked.where(F.coalesce("category", F.lit("")) != "negative").select("qid")
+    out = None
+    for c in ABLATION:
+        flags = evaluate.relevance(found.where(F.col("config") == c.label), asked)
+        rows = evaluate.retrieval_metrics(flags, totals[c.chunk_strategy], c.final_top_k).join(answerable, "qid", "left_semi")
+        means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 9).alias(m) for m in evaluate.METRICS]
+        one = rows.agg(F.count("*").alias("n"), *means).select(F.lit(c.label).alias("config"), "n", *evaluate.METRICS)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def multi_query(spark: SparkSession, d: str) -> DataFrame:
@@ -359,7 +387,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 NAMED: list[Query] = [
     bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap, rerank_all,
     refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
-    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
+    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, ablation_hits, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
     change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
     token_bucket, event_windows, event_sessions,
 ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tarnwick.config import ConfigError, RetrievalConfig, Settings
 from tarnwick.functions.embedding import Embedder, HashEmbedder, embed
 from tarnwick.operators import answer, bm25, dense, fusion
 from tarnwick.operators.rerank import PairScorer, rerank, shortlist
+from tarnwick.runtime import stage
 
 
 def candidates(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig, model: Embedder | None = None, paraphrases: DataFrame | None = None, passages: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -42,6 +46,10 @@ def retrieve(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig |
     """qid, chunk_id, text, score, the evidence of every stage, final_rank."""
     config = config or RetrievalConfig()
     lists, n = candidates(chunks, questions, config, model)
+    return _ranked(lists, n, chunks, questions, config, scorer, cache)
+
+
+def _ranked(lists: DataFrame, n: int, chunks: DataFrame, questions: DataFrame, config: RetrievalConfig, scorer: PairScorer | None = None, cache: DataFrame | None = None) -> DataFrame:
     fused = fusion.fuse(lists, n, config.fusion, config.rrf_k, config.dense_weight)
     text = chunks.select("chunk_id", "text")
     if not config.use_rerank:
@@ -63,14 +71,26 @@ def respond(results: DataFrame, questions: DataFrame, settings: Settings | None
     return both.select("qid", "refused", text.alias("answer"), F.coalesce("grounded", F.lit(True)).alias("grounded"), "confidence", "mean_similarity")
 
 
-def ablate(chunks: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], model: Embedder | None = None) -> DataFrame:
-    """Results of every configuration, with its label; those that need a language model are left out."""
+def ablate(chunks: DataFrame | Mapping[str, DataFrame], questions: DataFrame, configs: list[RetrievalConfig], model: Embedder | None = None) -> DataFrame:
+    """Results of every configuration, with its label; those that need a language model are left out.
+
+    ``chunks`` by strategy, or the same for all.  Candidate lists are made once for all
+    configurations that share their chunks and depths.
+    """
+    runs = [c for c in configs if c.expansion == "none"]
+    if not runs:
+        raise ConfigError("no configuration can run without a language model")
+    shared: dict[tuple, DataFrame] = {}
     out = None
-    for c in configs:
-        if c.expansion != "none":
-            continue
-        one = retrieve(chunks, questions, c, model).select(F.lit(c.label).alias("config"), "qid", "chunk_id", "final_rank")
+    for c in runs:
+        own = chunks if isinstance(chunks, DataFrame) else chunks[c.chunk_strategy]
+        key = lambda x: (x.chunk_strategy, x.top_k_dense, x.top_k_lexical)
+        if key(c) not in shared:
+            alike = [x for x in runs if key(x) == key(c)]
+            both = replace(c, use_dense=any(x.use_dense for x in alike), use_lexical=any(x.use_lexical for x in alike))
+            shared[key(c)] = stage(candidates(own, questions, both, model)[0])
+        names = [name for name, on in (("dense", c.use_dense), ("lexical", c.use_lexical)) if on]
+        one = _ranked(shared[key(c)].where(F.col("retriever").isin(names)), len(names), own, questions, c)
+        one = one.select(F.lit(c.label).alias("config"), "qid", "chunk_id", "final_rank", "text")
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ConfigError("no configuration can run without a language model")
     return out

@@ -36,3 +36,18 @@ def test_unclosed_elements_are_markup(text):
 @pytest.mark.parametrize("text", ["a Box<p> or a List<a>", "set <title> and <object> first", "read from <table> into <body>", "the <s> token"])
 def test_placeholders_are_content(text):
     assert not markup.residue(text)
+
+
+@tables
+def test_ablation_has_every_row_that_needs_no_model(spark):
+    rows = {r["config"]: r for r in registry.ablation(spark, SF).collect()}
+    assert set(rows) >= {
+        "dense only", "lexical only", "hybrid", "hybrid + rerank", "hybrid (weighted) + rerank", "hybrid + rerank, fixed-token chunking", "hybrid + rerank, semantic chunking",
+    }
+    n = registry.golden(spark, SF).where("category IS NULL OR category != 'negative'").count()
+    for r in rows.values():
+        assert r["n"] == n and all(0 <= r[m] <= 1 for m in ("recall", "precision", "hit", "rr", "ndcg"))
+    hits = registry.ablation_hits(spark, SF).groupBy("config").agg(F.sort_array(F.collect_set("chunk_id")).alias("c")).collect()
+    found = {r["config"]: r["c"] for r in hits}
+    assert set(found) == set(rows)
+    assert found["hybrid + rerank"] != found["hybrid + rerank, fixed-token chunking"] != found["hybrid + rerank, semantic chunking"]
