@@ -274,7 +274,7 @@ def multi_query(spark: SparkSession, d: str) -> DataFrame:
     asked = golden(spark, d)
     logged = table(spark, d, "retrieval_results").groupBy("qid").agg(F.max("expanded_queries").alias("e")).join(asked.select("qid"), "qid", "left_semi")
     variants = logged.select("qid", F.posexplode("e").alias("i", "question")).where("question IS NOT NULL").withColumn("variant", F.col("i") + 1)
-    config = RetrievalConfig(expansion="multi_query", use_rerank=False, top_k_dense=20, top_k_lexical=20)
+    config = RetrievalConfig(expansion="multi_query", use_rerank=False)
     lists, _ = retrieval.candidates(corpus(spark, d), asked, config, paraphrases=variants)
     return fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
 

@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.config import RetrievalConfig
 from tarnwick.llm import markup
-from tarnwick.plans import registry
+from tarnwick.operators import fusion
+from tarnwick.plans import registry, retrieval
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -51,3 +53,14 @@ def test_ablation_has_every_row_that_needs_no_model(spark):
     found = {r["config"]: r["c"] for r in hits}
     assert set(found) == set(rows)
     assert found["hybrid + rerank"] != found["hybrid + rerank, fixed-token chunking"] != found["hybrid + rerank, semantic chunking"]
+
+
+@tables
+def test_multi_query_takes_fifty_of_each_list(spark):
+    asked = registry.golden(spark, SF)
+    logged = registry.table(spark, SF, "retrieval_results").groupBy("qid").agg(F.max("expanded_queries").alias("e"))
+    variants = logged.select("qid", F.posexplode("e").alias("i", "question")).where("question IS NOT NULL").withColumn("variant", F.col("i") + 1)
+    config = RetrievalConfig(expansion="multi_query", use_rerank=False, top_k_dense=50, top_k_lexical=50)
+    lists, _ = retrieval.candidates(registry.corpus(spark, SF), asked, config, paraphrases=variants)
+    whole = fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
+    assert sorted(map(tuple, registry.multi_query(spark, SF).collect())) == sorted(map(tuple, whole.collect()))
