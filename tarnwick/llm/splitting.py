@@ -22,8 +22,8 @@ Defined results: null, empty and blank texts give no pieces; texts within the si
 give one piece; a null or non-positive size means the default, a null or negative
 overlap the default, and an overlap of the size or more means size - 1; null,
 reversed, unordered or out-of-range page spans are skipped or count where they
-start; repeated rows are split each, those above ``RANGE`` bytes once; empty tables
-give no rows; other columns are not read, whatever their names.
+start; repeated rows and rows without an id are split each; empty tables give no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -167,16 +167,20 @@ def _source(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Colu
     return docs.select(F.col(f"`{doc_id}`").alias("id"), raw.alias("raw"), size.alias("size"), overlap.alias("overlap"), pages.alias("pages"))
 
 
+def _giants(src: DataFrame, range_bytes: int) -> DataFrame:
+    """The rows above one range, each with its own key; written once, so that a key never changes."""
+    return stage(src.where(F.octet_length("raw") > range_bytes).withColumn("key", F.expr("uuid()")))
+
+
 def _ranges(giants: DataFrame, range_bytes: int) -> DataFrame:
     """id, key, no, window, lead (bytes of halo before), core (bytes of the range itself) of every range, spread over the cluster."""
-    keyed = giants.withColumn("key", F.concat_ws(":", F.xxhash64("raw"), F.xxhash64(F.lit(7), "raw"), F.octet_length("raw"))).dropDuplicates(["id", "key"])
     number = F.sequence(F.lit(0), ((F.octet_length("raw") - 1) / range_bytes).cast("int"))
-    each = keyed.select("*", F.explode(number).alias("no"))
+    each = giants.select("*", F.explode(number).alias("no"))
     begin = F.col("no") * range_bytes
     lead = F.least(begin, F.lit(HALO))
     window = F.substring("raw", begin - lead + 1, lead + range_bytes + HALO)
     core = F.least(F.lit(range_bytes), F.octet_length("raw") - begin)
-    return each.select("id", "key", "size", "overlap", "no", lead.alias("lead"), core.alias("core"), window.alias("window")).repartition("id", "key", "no")
+    return each.select("id", "key", "size", "overlap", "no", lead.alias("lead"), core.alias("core"), window.alias("window")).repartition("key", "no")
 
 
 def _bytes(x: bytes) -> np.ndarray:
@@ -194,7 +198,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, size: Column, overlap:
             n = [count_starts(_bytes(x), 0, len(x)) if x else 0 for x in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), pa.array(n, pa.int64())], names=out.names)
 
-    ranges = _ranges(src.where(F.octet_length("raw") > range_bytes), range_bytes)
+    ranges = _ranges(_giants(src, range_bytes), range_bytes)
     part = T.StructType([*[ranges.schema[c] for c in ("id", "key", "size")], T.StructField("n_tokens", T.LongType())])
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +251,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Colum
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=out.names)
 
     small = src.where(F.octet_length("raw") <= range_bytes).mapInArrow(whole, out)
-    giants = src.where(F.octet_length("raw") > range_bytes)
+    giants = _giants(src, range_bytes)
     return small.unionByName(_giant_pieces(giants, range_bytes, out)).withColumnRenamed("id", doc_id)
 
 
@@ -274,7 +278,7 @@ def _giant_pieces(giants: DataFrame, range_bytes: int, out: T.StructType) -> Dat
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keys], *arrays], names=table.names)
 
     found = stage(ranges.mapInArrow(boundaries, table))
-    pages = giants.select("id", F.concat_ws(":", F.xxhash64("raw"), F.xxhash64(F.lit(7), "raw"), F.octet_length("raw")).alias("key"), "pages").dropDuplicates(["id", "key"])
+    pages = giants.select("key", "pages")
     planned = T.StructType([*keys[:2], T.StructField("no", T.IntegerType()), *[T.StructField(n, t) for n, t in PIECE if n != "text"], T.StructField("from", T.LongType()), T.StructField("length", T.LongType())])
 
     def stitch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -303,8 +307,8 @@ def _giant_pieces(giants: DataFrame, range_bytes: int, out: T.StructType) -> Dat
 
     planned_arrow = to_arrow_schema(planned)
     narrow = found.drop("core")
-    made = narrow.groupBy("id", "key").cogroup(pages.groupBy("id", "key")).applyInArrow(stitch, planned)
-    parts = made.join(found.select("id", "key", "no", "core"), ["id", "key", "no"])
+    made = narrow.groupBy("key").cogroup(pages.groupBy("key")).applyInArrow(stitch, planned)
+    parts = made.join(found.select("key", "no", "core"), ["key", "no"])
     parts = parts.withColumn("part", F.substring(F.col("core"), F.col("from").cast("int") + 1, F.col("length").cast("int"))).drop("core")
     joined = parts.groupBy("id", "key", "piece_no", "start_char", "n_tokens", "boundary").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("p"))
     body = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["part"]), ""), "[ \\t\\n\\f\\r]+\\z", "")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.config import RetrievalConfig
-from tarnwick.llm import markup
+from tarnwick.llm import markup, splitting
 from tarnwick.operators import fusion
 from tarnwick.plans import registry, retrieval
 
@@ -64,3 +64,14 @@ def test_multi_query_takes_fifty_of_each_list(spark):
     lists, _ = retrieval.candidates(registry.corpus(spark, SF), asked, config, paraphrases=variants)
     whole = fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
     assert sorted(map(tuple, registry.multi_query(spark, SF).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_every_giant_row_counts(spark):
+    text = "word one. " * 60
+    rows = [(1, text, 10, 2, None), (1, text, 10, 2, None), (1, text, 500, 2, [(1, 300, 600, None)]), (None, text, 10, 2, None), (None, "a b", 10, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, overlap int, page_spans array<struct<page_number:int,start_char:int,end_char:int,label:string>>")
+    limits = (F.col("size"), F.col("overlap"))
+    for make in (lambda n: splitting.pieces(df, "doc_id", "text", *limits, "page_spans", range_bytes=n), lambda n: splitting.token_counts(df, "doc_id", "text", *limits, range_bytes=n), lambda n: splitting.oversized(df, "doc_id", "text", *limits, range_bytes=n)):
+        whole, parts = (sorted(map(repr, make(n).collect())) for n in (1 << 18, 257))
+        assert whole == parts and whole
+    assert splitting.oversized(df, "doc_id", "text", *limits, range_bytes=257).count() == 3
