@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.config import RetrievalConfig
+from tarnwick.config import RetrievalConfig, Settings
 from tarnwick.functions import ids, text
 from tarnwick.functions.embedding import HashEmbedder, embed
 from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
@@ -279,11 +279,20 @@ def multi_query(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
 
 
-def score_cache(spark: SparkSession, d: str) -> DataFrame:
-    """The newest 1,000 rerank scores by query and chunk; the limit is the feature."""
+def _score_cache(spark: SparkSession, d: str, size: int) -> DataFrame:
     logged = table(spark, d, "search_hits").where("retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL")
     entries = logged.groupBy(F.col("qid").alias("query_key"), "chunk_id", F.col("logged_at").alias("used_at")).agg(F.max("score").alias("rerank_score")).select("query_key", "chunk_id", "rerank_score", "used_at")
-    return rerank.update_cache(entries.where("false"), entries, 1000)
+    return rerank.update_cache(entries.where("false"), entries, size)
+
+
+def score_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 1,000 rerank scores by query and chunk, as the SQL has it; the limit is the feature."""
+    return _score_cache(spark, d, 1000)
+
+
+def score_cache_default(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the default size of the cache."""
+    return _score_cache(spark, d, Settings().cache_size)
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +396,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 NAMED: list[Query] = [
     bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap, rerank_all,
     refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
-    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, ablation_hits, multi_query, score_cache, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
+    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, ablation_hits, multi_query, score_cache, score_cache_default, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
     change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
     token_bucket, event_windows, event_sessions,
 ]

@@ -75,3 +75,10 @@ def test_every_giant_row_counts(spark):
         whole, parts = (sorted(map(repr, make(n).collect())) for n in (1 << 18, 257))
         assert whole == parts and whole
     assert splitting.oversized(df, "doc_id", "text", *limits, range_bytes=257).count() == 3
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_the_default_cache_has_its_default_size(spark):
+    d = "/root/testdata/sf0.01"
+    n = registry.table(spark, d, "search_hits").where("retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL").select("qid", "chunk_id").distinct().count()
+    assert n > 1000 and registry.queries()["score_cache_default"](spark, d).count() == min(n, 10_000)
