@@ -64,6 +64,7 @@ WEIGHTS = {
     "tick": 4.0, "bold": 5.0, "under": 3.0, "dunder": -6.0, "em": 4.0, "strike": 5.0, "link": 6.0, "image": 6.0, "foot": 6.0, "mdtable": 6.0,
     "pipe": 2.0, "task": 5.0, "dash": 1.5, "num": -0.5, "quote": 3.0, "rule": 2.0, "wikilink": 6.0, "template": 6.0, "wikihead": 5.0,
     "apostrophes": 5.0, "wikitable": 6.0, "command": 6.0, "math": 5.0, "escape": 3.0,
+    "emu": 3.0, "auto": 5.0, "refdef": 6.0, "reflink": 6.0, "external": 6.0,
 }
 #: Smoothness: adjacency at distance 0 and its range in characters; tree edges.
 NEAR, REACH, PARENT, PAIR, ROW = 0.8, 60.0, 0.8, 4.0, 1.0
@@ -85,6 +86,11 @@ _UNDER = re.compile(r"(?<!\w)(__)(?=\S)([^_\n]+?)(?<=\S)(__)(?!\w)")
 _EM = re.compile(r"(?<![\w*])(\*)(?=[^\s*])[^*\n]+?(?<=[^\s*])(\*)(?![\w*])")
 _STRIKE = re.compile(r"(~~)(?=\S)[^~\n]+?(?<=\S)(~~)")
 _LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")
+_EMU = re.compile(r"(?<![\w/\\.@-])(_)(?=[^\s_])[^_\n]+?(?<=[^\s_])(_)(?![\w/\\@-])")
+_AUTO = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>", re.I)
+_REFDEF = re.compile(r"^ {0,3}\[([^\[\]\n^][^\[\]\n]*)\]:[ \t]+(?:<[^<>\n]*>|(?:[a-z][a-z0-9+.-]*:|[/#.]|www\.)\S*)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*\r?$", re.I | re.M)
+_REFLINK = re.compile(r"\[([^\[\]\n]+)\] ?\[([^\[\]\n]*)\]")
+_EXTERNAL = re.compile(r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+(?:[ \t]+([^\[\]\n]+))?\](?!\()", re.I)
 _FOOT = re.compile(r"\[\^([^\[\]\s]+)\](:?)")
 _MDTABLE = re.compile(r"^\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\r?$", re.M)
 _PIPE = re.compile(r"^\|(?![-}|+])[^\n]*\|[ \t]*\r?$", re.M)
@@ -108,7 +114,7 @@ _ESCAPE = re.compile(r"\\\\(?=[ \t]*\r?$)|\\[%&#_{}$](?!\w*\\)", re.M)
 
 
 #: Line starts at which a line pattern can match at all; a literal first character lets the search skip ahead.
-_LINE = re.compile(r"\n(?=[ \t]*[#>|=~`!{*+\-_\d])")
+_LINE = re.compile(r"\n(?=[ \t]*[#>|=~`!{*+\-_:\d])")
 
 
 class Span(NamedTuple):
@@ -246,6 +252,31 @@ def candidates(text: str) -> list[Span]:
             if free(m.start()):
                 add(m.start(), m.start(2), "image" if m[1] else "link", "", f"l{m.start()}")
                 add(m.end(2), m.end(), "image" if m[1] else "link", "", f"l{m.start()}")
+    if "_" in text:
+        for m in _EMU.finditer(text):
+            if free(m.start()):
+                kind = "dunder" if re.search(r"[=(){};<>\[\]]", m[0]) else "emu"  # code between two identifiers
+                add(m.start(), m.start() + 1, kind, "", f"e{m.start()}")
+                add(m.end() - 1, m.end(), kind, "", f"e{m.start()}")
+    if "<" in text and (":" in text or "@" in text):
+        for m in _AUTO.finditer(text):
+            if free(m.start()):
+                add(m.start(), m.start(1), "auto", "", f"a{m.start()}")
+                add(m.end(1), m.end(), "auto", "", f"a{m.start()}")
+    if "]:" in text:
+        named = set()
+        for m in _REFDEF.finditer(text):
+            if free(m.start()):
+                add(m.start(), m.end(), "refdef")
+                named.add(" ".join(m[1].lower().split()))
+        for m in _REFLINK.finditer(text) if named else ():  # only names that the text defines
+            if free(m.start()) and " ".join((m[2] or m[1]).lower().split()) in named:
+                add(m.start(), m.start(1), "reflink", "", f"r{m.start()}")
+                add(m.end(1), m.end(), "reflink", "", f"r{m.start()}")
+    if "://" in text and "[" in text:
+        for m in _EXTERNAL.finditer(text):
+            if free(m.start()):
+                add(m.start(), m.end(), "external", m[1] or "")
     if "[^" in text:
         for m in _FOOT.finditer(text):
             if free(m.start()):
@@ -541,6 +572,8 @@ def clean(text: str, spans: list[Span] | None = None) -> list[tuple[str, str]]:
                 out.append("…")
             elif name not in DROPPED:
                 out.append(inner[-1] if inner else name)
+        elif kind == "external":
+            out.append(v)
         elif kind == "escape":
             out.append(v + row if v == "\t" else v)
     out.append(text[at:])

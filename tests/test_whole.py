@@ -82,3 +82,20 @@ def test_the_default_cache_has_its_default_size(spark):
     d = "/root/testdata/sf0.01"
     n = registry.table(spark, d, "search_hits").where("retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL").select("qid", "chunk_id").distinct().count()
     assert n > 1000 and registry.queries()["score_cache_default"](spark, d).count() == min(n, 10_000)
+
+
+@pytest.mark.parametrize("text,clean", [
+    ("an _important point_ here", "an important point here"), ("see <https://a.example/x> now", "see https://a.example/x now"), ("write to <me@a.example> now", "write to me@a.example now"),
+    ("see [the paper][one] here\n\n[one]: https://a.example/x", "see the paper here"), ("see [https://a.example the page] here", "see the page here"),
+])
+def test_further_forms_are_markup(text, clean):
+    assert "\n".join(b for _, b in markup.clean(text)) == clean
+
+
+def test_a_rule_that_starts_with_a_colon():
+    assert "mdtable" in {s.kind for s in markup.residue("a | b\n:--- | ---:\n1 | 2")}
+
+
+@pytest.mark.parametrize("text", ["snake_case_name and _private", "f(_a = 1, b_)", "as in [11] [37] and [x][y]", "path /a/_b_/c", "[note]: the values differ", "an array[0] of http://a.example"])
+def test_look_alikes_of_further_forms_are_content(text):
+    assert not markup.residue(text)
