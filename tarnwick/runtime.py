@@ -7,13 +7,14 @@ rows go to a Parquet table in the folder that all executors share
 
 from __future__ import annotations
 
-import gc
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,43 +53,63 @@ def ship(spark: SparkSession) -> None:
     sc._tarnwick_shipped = True
 
 
+class SharedFolderError(RuntimeError):
+    """A cluster session that names no folder which all executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is."""
+    """The folder that all executors share, as the session names it.
+
+    Where none is named, a session on one machine gets a temporary folder, for itself alone; on a
+    cluster such a folder would be another one on each machine, so that is an error.
+    """
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
-        spark.conf.set(_KEY, path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    sc = spark.sparkContext
+    if not re.match(r"local(\[|$)", sc.master):
+        raise SharedFolderError(f"set {_KEY} to a folder that all executors share")
+    if getattr(sc, "_tarnwick_folder", None) is None:
+        sc._tarnwick_folder = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
+    return sc._tarnwick_folder
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A path and its file system in the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def stage(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back.
 
-    The path is kept on the result for :func:`unstage`.
+    Its path is kept on the result for :func:`unstage`.  What is not deleted so goes with the
+    application: its folder is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwick/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/tarnwick/{sc.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if getattr(sc, "_tarnwick_owned", None) != own:
+        where, files = hadoop_path(spark, own)
+        files.deleteOnExit(where)
+        sc._tarnwick_owned = own
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
     return back
 
 
 def unstage(*staged: DataFrame) -> None:
-    """Delete tables written by :func:`stage` that no later plan reads, and let go of their shuffle files."""
+    """Delete tables written by :func:`stage` that no later plan reads."""
     for df in staged:
         path = getattr(df, "_staged_path", None)
-        if path is None:
-            continue
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    if staged:
-        gc.collect()
-        staged[0].sparkSession._jvm.System.gc()
+        if path is not None:
+            where, files = hadoop_path(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def parallelism(spark: SparkSession) -> int:
