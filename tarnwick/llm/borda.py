@@ -7,10 +7,12 @@ mid-rank.  A list gives an item as many points as the query has items, less its
 rank; points are weighted by list, summed, and sorted with the identifier as tie
 break.
 
-Ranks in groups of any size come from a range-partitioned sort: every partition
-ranks its own rows, and the driver stitches the at most two groups per partition
-that cross its borders (runs of equal scores included).  No query, however hot, is
-gathered in one task.
+Ranks in groups of any size come from a range-partitioned sort, with so many
+partitions that each holds about ``ROWS`` rows however many there are: every
+partition ranks its own rows, and the driver stitches the at most two groups per
+partition that cross its borders (runs of equal scores included).  No query, however
+hot, is gathered in one task; where statistics of a query meet its items, hot
+queries are spread over salts.
 
 Defined results: rows with a null query, list or item and null or NaN scores do
 not count; a repeated item counts once per list, with its highest score; positions
@@ -32,7 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.runtime import parallelism, stage
+from tarnwick.operators.skew import join_spread
+from tarnwick.runtime import parallelism, stage, unstage
+
+#: Rows that a partition of the sort should have; its task holds them as Arrow columns.
+ROWS = 250_000
 
 
 def _changes(columns: list[pa.Array]) -> np.ndarray:
@@ -56,10 +62,12 @@ def ranked(df: DataFrame, groups: list[str], item: str, score: str) -> DataFrame
     """Adds ``position`` (ties by item) and ``rank`` (ties averaged) within the groups, highest score first.
 
     ``df`` has the string columns ``groups`` and ``item``, unique together, and a non-null double ``score``.
+    It is stored first, since the sort reads it twice: for its borders and for its rows.
     """
-    src = df.select(*groups, item, score)
+    src = stage(df.select(*groups, item, score))
+    n_parts = max(parallelism(df.sparkSession), -(-src.count() // ROWS))
     order = [*[F.asc(g) for g in groups], F.desc(score), F.asc(item)]
-    parts = src.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    parts = src.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     own = [("__pos", T.LongType()), ("__above", T.LongType()), ("__ties", T.LongType()), ("__edge", T.BooleanType())]
     schema = T.StructType([*src.schema.fields, *[T.StructField(n, t) for n, t in own]])
     k = len(groups)
@@ -79,6 +87,7 @@ def ranked(df: DataFrame, groups: list[str], item: str, score: str) -> DataFrame
         yield from out.to_batches(max_chunksize=65536)
 
     sorted_ = stage(parts.mapInArrow(run, schema).withColumn("__part", F.spark_partition_id()))
+    unstage(src)
     edges = (
         sorted_.where("__edge")
         .groupBy("__part", *groups)
@@ -135,9 +144,11 @@ def positions(hits: DataFrame, query: str, list_: str, item: str, score: str) ->
     return ranked(distinct, ["qid", "list"], "item", "score")
 
 
-def borda(placed: DataFrame, weights: DataFrame | None, lists: list[str]) -> DataFrame:
+def borda(placed: DataFrame, weights: DataFrame | None, lists: list[str], first: int = 3, contest: int = 8) -> DataFrame:
     """Points of every item: qid, item, points, n_lists and, per counted list, its position (``pos_<list>``).
 
+    ``head_points``: what an item has at least that is among the first ``first`` of every counted list of
+    the query; ``contest_points``: what one has that is among the first ``contest`` of two of them.
     ``placed`` comes from :func:`positions`; ``weights`` has one row per qid with
     ``w_<list>`` (0 or null: the list is off).
     """
@@ -151,6 +162,8 @@ def borda(placed: DataFrame, weights: DataFrame | None, lists: list[str]) -> Dat
     stats = one.groupBy("qid").agg(
         *[F.count(f"p_{x}").alias(f"n_{x}") for x in lists],
         *[F.count_if(F.col("mask") == s).alias(f"m_{s}") for s in sets],
+        F.count("*").alias("size"),
+        *[F.max(F.when(F.col(f"p_{x}") <= n, F.col(f"r_{x}"))).alias(f"{name}_{x}") for x in lists for name, n in (("head", first), ("near", contest))],
     )
     if weights is None:
         stats = stats.select("*", *[F.lit(1.0).alias(f"w_{x}") for x in lists])
@@ -161,15 +174,24 @@ def borda(placed: DataFrame, weights: DataFrame | None, lists: list[str]) -> Dat
     used = reduce(lambda a, b: a + b, [F.when(on[x], 1 << i).otherwise(0) for i, x in enumerate(lists)])
     stats = stats.withColumn("used", used)
     items = reduce(lambda a, b: a + b, [F.when(F.col("used").bitwiseAND(F.lit(s)) > 0, F.col(f"m_{s}")).otherwise(0) for s in sets])
-    stats = stats.select("qid", "used", items.alias("m"), F.bit_count("used").alias("n_lists"), *[f"w_{x}" for x in lists], *[f"n_{x}" for x in lists])
+    stats = stats.withColumns({"m": items, "n_lists": F.bit_count("used")})
+
+    def least(x: str, name: str) -> Column:  # points of the worst rank among the first positions of a list; 0 where it is off
+        bit = F.col("used").bitwiseAND(F.lit(1 << lists.index(x))) > 0
+        return F.when(bit, F.col(f"w_{x}") * (F.col("m") - F.col(f"{name}_{x}"))).otherwise(F.lit(0.0))
+
+    head = reduce(lambda a, b: a + b, [least(x, "head") for x in lists])
+    pairs = [F.when(on_both, least(x, "near") + least(y, "near")) for i, x in enumerate(lists) for y in lists[i + 1 :] for on_both in [F.col("used").bitwiseAND(F.lit(1 << i | 1 << lists.index(y))) == (1 << i | 1 << lists.index(y))]]
+    stats = stats.select("qid", "used", "m", "n_lists", "size", *[f"w_{x}" for x in lists], *[f"n_{x}" for x in lists], head.alias("head_points"), (F.least(*pairs) if len(pairs) > 1 else pairs[0] if pairs else F.lit(None).cast("double")).alias("contest_points"))
 
-    both = one.join(stats, "qid").where(F.col("mask").bitwiseAND(F.col("used")) > 0)
+    stats = stage(stats)
+    both = join_spread(one, stats, ["qid"], "size", "item").where(F.col("mask").bitwiseAND(F.col("used")) > 0)
     points: Column = F.lit(0.0)
     for i, x in enumerate(lists):
         rank = F.coalesce(F.col(f"r_{x}"), (F.col(f"n_{x}") + 1 + F.col("m")) / 2)
         points = points + F.when(F.col("used").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"w_{x}") * (F.col("m") - rank)).otherwise(F.lit(0.0))
     shown = [F.when(F.col("used").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"p_{x}")).alias(f"pos_{x}") for i, x in enumerate(lists)]
-    return both.select("qid", "item", points.alias("points"), "n_lists", *shown)
+    return both.select("qid", "item", points.alias("points"), "n_lists", "head_points", "contest_points", *shown)
 
 
 def fused(scored: DataFrame) -> DataFrame:
@@ -179,12 +201,18 @@ def fused(scored: DataFrame) -> DataFrame:
 
 def heads(scored: DataFrame, lists: list[str], first: int = 3, contest: int = 8) -> DataFrame:
     """qid and item of undisputed heads: at least two lists count, the item is among the first ``first`` of every
-    one, and no other item is among the first ``contest`` of two or more."""
+    one, and no other item is among the first ``contest`` of two or more.
+
+    The count decides who is looked at: only items whose points reach what a head, or one who contests it, has
+    at least.  Their positions are then checked.  ``scored`` comes from :func:`borda` with the same numbers.
+    """
+    slack = 1e-9 * (1 + F.abs("points"))
+    upper = scored.where((F.col("n_lists") >= 2) & (F.col("points") + slack >= F.least("head_points", "contest_points")))
     place = [F.col(f"pos_{x}") for x in lists]
     inside = reduce(lambda a, b: a + b, [F.when(p <= first, 1).otherwise(0) for p in place])
     near = reduce(lambda a, b: a + b, [F.when(p <= contest, 1).otherwise(0) for p in place])
-    head = F.when((F.col("n_lists") >= 2) & (inside == F.col("n_lists")), F.col("item"))
-    per = scored.groupBy("qid").agg(F.count_if(near >= 2).alias("n"), F.max(head).alias("item"))
+    head = F.when(inside == F.col("n_lists"), F.col("item"))
+    per = upper.groupBy("qid").agg(F.count_if(near >= 2).alias("n"), F.max(head).alias("item"))
     return per.where("n = 1 AND item IS NOT NULL").select("qid", "item")
 
 
@@ -197,6 +225,7 @@ def run_weights(results: DataFrame, runs: DataFrame) -> DataFrame:
     c = F.col("config")
     weighted = F.coalesce(F.lower(F.regexp_replace(c["fusion"], r"(?U)^\s+|\s+$", "")), F.lit("rrf")) == "weighted"
     w = F.coalesce(F.nanvl(c["dense_weight"].cast("double"), F.lit(None).cast("double")), F.lit(0.5))
+    w = F.least(F.greatest(w, F.lit(-1e9)), F.lit(1e9))  # infinite weights would leave nothing to add
     per = runs.select(
         "run_id",
         F.when(c["use_dense"], F.when(weighted, F.greatest(w, F.lit(0.0))).otherwise(1.0)).otherwise(0.0).alias("w_dense"),
