@@ -16,8 +16,11 @@ emptied when full, so its size never depends on the data.
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib
 import os
+import shutil
+import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,11 +29,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MEMO = 400_000
+#: A pair of tokens is one integer of twice as many bits; a larger vocabulary is refused.
+PAIR_BITS = 31
 _NONE = -1
 
 
@@ -97,6 +103,8 @@ class PrefixEncoder:
     """Encodes pre-tokens of a vocabulary in which ids are merge ranks and the 256 bytes come first."""
 
     def __init__(self, tokens: list[bytes]):
+        if len(tokens) > 1 << PAIR_BITS:
+            raise ValueError(f"the vocabulary has {len(tokens)} tokens; pairs are kept for {1 << PAIR_BITS} at most")
         self.tokens = tokens
         self.automaton = SuffixAutomaton(tokens)
         ids = {t: i for i, t in enumerate(tokens)}
@@ -108,7 +116,7 @@ class PrefixEncoder:
                 a, b = ids.get(t[:cut], i), ids.get(t[cut:], i)
                 if a < i and b < i and self.may_follow(a, b):
                     pair = (a, b)
-                    self.merged[a << 20 | b] = i
+                    self.merged[a << PAIR_BITS | b] = i
                     break
             self.parts.append(pair)
         self.whole = ids
@@ -116,9 +124,9 @@ class PrefixEncoder:
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the text of token ``a`` followed by that of ``b`` encodes to exactly these two."""
         merged, parts = self.merged, self.parts
-        bound = 1 << 40  # a merge across the seam wins if it has a lower rank than this
+        bound = 1 << 2 * PAIR_BITS  # a merge across the seam wins if it has a lower rank than this
         while True:
-            m = merged.get(a << 20 | b)
+            m = merged.get(a << PAIR_BITS | b)
             if m is not None and m < bound:
                 return False
             if a > b:  # the merge that made the later token is undone first
@@ -221,16 +229,37 @@ def vocabulary(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-@lru_cache(maxsize=2)
-def load(path: str | None = None, pattern: str | None = None) -> Tokenizer:
-    """The tokenizer of a rank file, built once per worker; by default byte_bpe_50k of the public tokenizers."""
+def _public(path: str | None, pattern: str | None) -> tuple[str, str]:
+    """By default byte_bpe_50k of the public tokenizers, where they are installed on the driver."""
     if path is None or pattern is None:
         public = importlib.import_module("public_tokenizers")
         path = path or os.fspath(public.path("byte_bpe_50k.tiktoken"))
         pattern = pattern or public.PATTERN
+    return path, pattern
+
+
+@lru_cache(maxsize=2)
+def load(path: str | None = None, pattern: str | None = None) -> Tokenizer:
+    """The tokenizer of a rank file, built once per worker."""
+    path, pattern = _public(path, pattern)
     return Tokenizer(vocabulary(path), pattern)
 
 
+def shipped(spark: SparkSession, path: str | None, pattern: str | None) -> tuple[str, str]:
+    """The name under which the workers find the driver's rank file, and the pattern; a file is sent once per application."""
+    path, pattern = _public(path, pattern)
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_tarnwick_files", {})
+    if path not in sent:
+        with open(path, "rb") as f:
+            name = f"{hashlib.file_digest(f, 'sha256').hexdigest()[:16]}.ranks"
+        copy = os.path.join(tempfile.mkdtemp(prefix="tarnwick-"), name)  # on the driver alone, which serves it
+        shutil.copyfile(path, copy)
+        sc.addFile(copy)
+        sent[path] = name
+    return sent[path], pattern
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
@@ -252,8 +281,10 @@ def encode(df: DataFrame, text: str, *keep: str, vocab: str | None = None, patte
     src = df.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("__ids", T.ArrayType(T.IntegerType()), False)])
 
+    ranks, split = shipped(df.sparkSession, vocab, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(vocab, pattern)
+        tok = load(SparkFiles.get(ranks), split)
         for b in batches:
             ids = _lists([tok.encode(t) for t in _texts(b.column(b.num_columns - 1))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], "__ids"])
@@ -267,8 +298,10 @@ def count_tokens(df: DataFrame, text: str, *keep: str, vocab: str | None = None,
     src = df.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("__n", T.LongType(), False)])
 
+    ranks, split = shipped(df.sparkSession, vocab, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(vocab, pattern)
+        tok = load(SparkFiles.get(ranks), split)
         for b in batches:
             n = pa.array([tok.count(t) for t in _texts(b.column(b.num_columns - 1))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "__n"])
