@@ -44,7 +44,6 @@ FITTED = T.StructType(
         T.StructField("target_tokens", T.DoubleType()),
         T.StructField("available_tokens", T.LongType()),
         T.StructField("max_repeats", T.LongType()),
-        T.StructField("short", T.BooleanType()),
     ]
 )
 
@@ -97,13 +96,12 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     available = sum(n * c for n, c in zip(lengths, counts))
     repeats = 0 if pd.isna(one["__repeats"]) else max(0, int(one["__repeats"]))
     target = 0.0 if pd.isna(one["__target"]) else float(one["__target"])
-    short = available * repeats < target
-    budget = available * repeats if short else int(target)
+    budget = min(int(target), available * repeats)
     passes = min(repeats, budget // available) if available else 0
     picks = fill(lengths, counts, budget - passes * available) if passes < repeats else [0] * len(lengths)
     out = pd.DataFrame({"__size": lengths or [0], "__picks": picks or [0]})
     out["mix_id"], out["source"], out["__key"], out["__passes"] = one["mix_id"], one["source"], one["__key"], passes
-    out["target_tokens"], out["available_tokens"], out["max_repeats"], out["short"] = target, available, repeats, short
+    out["target_tokens"], out["available_tokens"], out["max_repeats"] = target, available, repeats
     return out[[f.name for f in FITTED]]
 
 
@@ -127,17 +125,21 @@ def fit(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def report(plan: DataFrame) -> DataFrame:
-    """Per mix and source: target and reached tokens, both as shares of the mix, and whether it falls short."""
+    """Per mix and source: target and reached tokens, both as shares of the mix, and whether it falls short.
+
+    A source falls short if what the fit reached is below the target though no use of any document is left.
+    """
     per = plan.groupBy("mix_id", "source").agg(
         F.first("target_tokens").alias("target_tokens"),
         F.first("available_tokens").alias("available_tokens"),
         F.first("max_repeats").alias("max_repeats"),
-        F.first("short").alias("short"),
         (F.first("__passes") * F.first("available_tokens") + F.sum(F.col("__picks") * F.col("__size"))).alias("reached_tokens"),
     )
+    left = F.col("available_tokens") * F.col("max_repeats") - F.col("reached_tokens")
     mix = Window.partitionBy("mix_id")
     return per.select(
         "*",
+        ((F.col("reached_tokens") < F.col("target_tokens")) & (left == 0)).alias("short"),
         F.try_divide("target_tokens", F.sum("target_tokens").over(mix)).alias("target_share"),
         F.try_divide("reached_tokens", F.sum("reached_tokens").over(mix)).alias("reached_share"),
     )
