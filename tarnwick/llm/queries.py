@@ -66,8 +66,8 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = splitting.oversized(_sized(spark, sf_dir), "doc_id", "text", F.col("chunk_size"), F.col("chunk_overlap"))
-    return big.select("doc_id")
+    """Documents that come out as more than one piece."""
+    return p3_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
 P3_SQL = r"""
@@ -188,7 +188,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repetition.repetition(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_words", "n_repeated", "share")
 
 
 #: Documents in the labelled holdout of p8, at most about so many (chosen by hash).
@@ -196,25 +196,35 @@ P8_HOLDOUT = 20_000
 P8_SHARE = 0.30
 
 
-def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
-    """Measured documents and the cutoffs from a holdout, labelled by the definition of p8."""
-    measured = stage(p8_shares(spark, sf_dir).withColumn("stratum", repetition.length_band(F.col("n_words"))))
-    every = max(1, measured.count() // P8_HOLDOUT)
-    holdout = measured.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).withColumn("bad", F.col("share") >= P8_SHARE)
-    return measured, repetition.controlled_cutoffs(holdout, "share", "bad", "stratum")
+def _p8(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """The cutoffs of the estimate, from a holdout that is labelled by the exact measure."""
+    docs = _table(spark, sf_dir, "documents")
+    every = max(1, docs.count() // P8_HOLDOUT)
+    holdout = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    labelled = repetition.repetition(holdout, "doc_id", "text").withColumn("case", F.col("share") >= P8_SHARE)
+    return repetition.controlled_cutoffs(labelled, "estimate", "case", "stratum")
 
 
 def p8_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cutoffs = _p8(spark, sf_dir)
-    schema = "stratum string, cutoff double, n_good long, errors long, bound double, certified boolean"
-    return spark.createDataFrame([tuple(c.values()) for c in cutoffs], schema)
+    schema = "stratum string, cutoff double, n_cases long, lost long, bound double, certified boolean"
+    return spark.createDataFrame([tuple(c.values()) for c in _p8(spark, sf_dir)], schema)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected by the controlled cutoffs (none is above the share asked for), then held to that share."""
-    measured, cutoffs = _p8(spark, sf_dir)
-    rejected = repetition.repetitive(measured, cutoffs, F.col("stratum"))
-    return rejected.where(F.col("share") >= P8_SHARE).select("doc_id")
+    """Let through by the controlled cutoffs, then measured exactly."""
+    measured = repetition.repetition(_table(spark, sf_dir, "documents"), "doc_id", "text", cutoffs=_p8(spark, sf_dir))
+    return measured.where(F.col("share") >= P8_SHARE).select("doc_id")
+
+
+P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, i, list_slice(w, i, i + 7) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+s AS (SELECT doc_id, i, i + 7 <= n AND i > min(i) OVER (PARTITION BY doc_id, g) AS again FROM p),
+c AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS repeated FROM s),
+r AS (SELECT doc_id, sum(repeated)::BIGINT AS n_repeated FROM c GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_repeated, 0)::BIGINT AS n_repeated,
+             CASE WHEN len(w) > 0 THEN coalesce(n_repeated, 0) / len(w)::DOUBLE ELSE 0.0 END AS share FROM d LEFT JOIN r USING (doc_id))
+"""
 
 
 def queries() -> dict[str, Query]:
@@ -247,4 +257,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": P4_FOUND_SQL,
         "p4_fused": P4_FUSED_SQL,
         "p6_found": P6_FOUND_SQL,
+        "p8_found": P8_SQL + "SELECT doc_id FROM m WHERE share >= 0.30",
+        "p8_shares": P8_SQL + "SELECT * FROM m",
     }

@@ -1,48 +1,57 @@
 """Splitting oversized documents at natural boundaries, by byte ranges.
 
-A text is read in ranges of bytes with halos on both sides.  Workers find, in
-their range alone, where tokens start and how natural a cut before each would be
-(heading, paragraph, sentence or line, any token).  The boundary tables of a text
-are stitched by prefix sums of the characters and tokens of its ranges, page starts
-join them, the pieces are planned over the stitched table, and emitted by offset
-from the ranges they touch.  No worker ever holds a giant text: texts above
-``RANGE`` bytes are spread over the cluster by (document, range).  A text of one
+A text is read in ranges of bytes with halos.  Workers find, in their range alone,
+where tokens start and how natural a cut before each would be (heading, paragraph,
+sentence or line, any token); what they can't see, the gap and the token before
+their first one, they leave to the stitching as counts.  The boundary tables of a
+text are stitched in order, with prefix sums of the characters of its ranges: the
+stitcher streams over them and holds one range and one piece at a time.  Page starts
+are met there, pieces are planned, and emitted by offset from the ranges they touch.
+
+Giant files (:func:`file_pieces`) are read range by range with a seek each, and no
+worker or driver ever holds one.  Texts of a table arrive as whole cells, as its
+reader makes them; those above ``RANGE`` bytes are cut into the same ranges, spread
+over the cluster by (row, range), and go the same way from there.  A text of one
 range takes the same steps in one task, without a shuffle.
 
 A piece holds at most ``size`` tokens and shares exactly ``overlap`` tokens with the
 next.  The cut is the most natural boundary in the second half of what fits (the
 last of equals), else the most natural one that still makes progress, else the
 token limit.  A token is a maximal run of characters other than space, tab, line
-feed, form feed and carriage return, and is never cut.
-
-Whatever decides about a boundary lies within ``HALO`` bytes of it, in a text of
-one range as well, so the pieces don't depend on how a text falls into ranges.
+feed, form feed and carriage return, and is never cut.  A heading is a line that is
+marked as one, or, up to ``HEADING_TOKENS`` tokens and ``HEADING_BYTES`` bytes, one
+that is underlined or stands alone without a full stop.  Tokens, gaps and marked
+lines may have any length, and the pieces don't depend on how a text falls into
+ranges.
 
 Defined results: null, empty and blank texts give no pieces; texts within the size
 give one piece; a null or non-positive size means the default, a null or negative
 overlap the default, and an overlap of the size or more means size - 1; null,
 reversed, unordered or out-of-range page spans are skipped or count where they
 start; repeated rows and rows without an id are split each; empty tables give no rows;
-other columns are not read, whatever their names.
+a file that isn't UTF-8 is an error; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tarnwick.runtime import stage
+from tarnwick.runtime import hadoop_path, stage
 
 RANGE = 1 << 18
+#: Bytes that a range sees before and behind itself; more than a heading's line may have.
 HALO = 1 << 12
 SIZE, OVERLAP = 512, 64
-HEADING_TOKENS = 12
+HEADING_TOKENS, HEADING_BYTES = 12, 1 << 10
 TOKEN, SENTENCE, PARAGRAPH, HEADING, PAGE = 1, 2, 3, 4, 5
 NAMES = {TOKEN: "token", SENTENCE: "sentence", PARAGRAPH: "paragraph", HEADING: "heading", PAGE: "page"}
 
@@ -58,52 +67,64 @@ _BULLET = np.zeros(256, bool)
 _BULLET[list(b"-*+|>(")] = True
 
 
-def count_starts(window: np.ndarray, begin: int, end: int) -> int:
-    """Tokens that start in [begin, end) of a window of bytes."""
-    space = _SPACE[window[max(0, begin - 1) : end]]
-    starts = ~space
-    starts[1:] &= space[:-1]
-    return int(starts[1:].sum() if begin else starts.sum())
+class Seen(NamedTuple):
+    """What one range shows: its tokens, and what its neighbours need to know."""
 
+    at: np.ndarray  #: where tokens start, as bytes of the window
+    strength: np.ndarray  #: of a cut before each; the first is decided when ranges are stitched
+    heading: bool  #: whether the first token starts a heading's line
+    stop: int  #: whether the token that ends before the first start ends a sentence; -1 if it ends in an earlier range
+    breaks: int  #: line breaks from there, or from the beginning of the range, to the first start
+    last_stop: int  #: the same of the last token that ends here; -1 if none does
+    last_breaks: int  #: line breaks from there, or from the beginning of the range, to its end
 
-def detect(window: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions in the window of tokens that start in [begin, end), and the strength of a cut before each."""
-    n = len(window)
+
+def detect(window: np.ndarray, begin: int, end: int) -> Seen:
+    """The tokens that start in [begin, end) of the window."""
     space = _SPACE[window]
     starts = np.flatnonzero(~space & np.append(True, space[:-1]))
     ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
     newline = window == 10
     newline |= (window == 13) & ~np.append(newline[1:], False)
     lines = np.flatnonzero(newline)
-    own = np.flatnonzero((starts >= begin) & (starts < end))
-    at = starts[own]
-    strength = np.full(len(own), TOKEN, np.int8)
-    if not len(own):
-        return at, strength
-    before = ends[np.maximum(own - 1, 0)]
-    known = (own > 0) & (at - before <= HALO)
-    gap = np.where(known, before, np.maximum(0, at - HALO))
-    breaks = np.searchsorted(lines, at) - np.searchsorted(lines, gap)
-    last = window[np.maximum(before - 1, 0)]
-    inner = window[np.maximum(before - 2, 0)]
-    third = window[np.maximum(before - 3, 0)]
+    inside = lines[(lines >= begin) & (lines < end)]
+    last, inner, third = (window[np.maximum(ends - k, 0)] for k in (1, 2, 3))
     stop = _STOP[last] | (_CLOSER[last] & _STOP[inner])
     stop |= (third == 0xE3) & (inner == 0x80) & (last == 0x82)
     stop |= (third == 0xEF) & (inner == 0xBC) & ((last == 0x81) | (last == 0x9F))
-    strength[(known & stop) | (breaks >= 1)] = SENTENCE
-    block = (breaks >= 2) | ((own == 0) & (begin == 0))
-    strength[block] = PARAGRAPH
-    b = np.flatnonzero(block)
-    if len(b):
-        strength[b[_headings(window, at[b], own[b], starts, lines, n)]] = HEADING
-    return at, strength
+    own = np.flatnonzero((starts >= begin) & (starts < end))
+    at = starts[own]
+    strength = np.full(len(own), TOKEN, np.int8)
 
+    def between(a: int, z: int) -> int:
+        return int(np.searchsorted(inside, z) - np.searchsorted(inside, a))
 
-def _headings(window: np.ndarray, at: np.ndarray, number: np.ndarray, starts: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
-    """Which blocks start with a heading: marked as one, underlined, or one short line without a full stop."""
+    def before(z: int) -> tuple[int, int]:
+        """Of the last token that ends in (begin, z]: whether it ends a sentence, and the line breaks behind it up to z."""
+        k = int(np.searchsorted(ends, z, "right")) - 1
+        if k < 0 or ends[k] <= begin:
+            return -1, between(begin, z)
+        return int(stop[k]), between(int(ends[k]), z)
+
+    last_stop, last_breaks = before(end)
+    if not len(own):
+        return Seen(at, strength, False, -1, 0, last_stop, last_breaks)
+    breaks = np.searchsorted(lines, at[1:]) - np.searchsorted(lines, ends[own[1:] - 1])
+    strength[1:][stop[own[1:] - 1] | (breaks >= 1)] = SENTENCE
+    strength[1:][breaks >= 2] = PARAGRAPH
+    look = np.flatnonzero(np.append(True, breaks >= 2))
+    heads = look[_headings(window, at[look], own[look], starts, lines)]
+    strength[heads] = HEADING
+    first_stop, first_breaks = before(int(at[0]))
+    return Seen(at, strength, bool(len(heads) and heads[0] == 0), first_stop, first_breaks, last_stop, last_breaks)
+
+
+def _headings(window: np.ndarray, at: np.ndarray, number: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """At which token starts a line is a heading: marked as one, underlined, or one short line without a full stop."""
+    n = len(window)
     nth = np.searchsorted(lines, at)
     stop = np.append(lines, n)[np.minimum(nth, len(lines))]
-    near = stop - at <= HALO // 2
+    near = stop - at <= HEADING_BYTES
     first, second = window[at], window[np.minimum(at + 1, n - 1)]
     third = window[np.minimum(at + 2, n - 1)]
     marked = ((first == 35) & ((second == 35) | (second == 32))) | ((first == 61) & (second == 61))
@@ -123,34 +144,63 @@ def _headings(window: np.ndarray, at: np.ndarray, number: np.ndarray, starts: np
     count = np.searchsorted(starts, stop) - number
     alone = (stop + 1 < n) & ((under == 10) | (under == 13))
     short = (count <= HEADING_TOKENS) & ~_NO_HEADING_END[final] & ~_BULLET[first] & alone & (first < 0x80)
-    return near & (marked | underlined | short)
-
-
-def plan(strength: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces as [first token, end token)."""
-    n, out, s = len(strength), [], 0
-    while n - s > size:
-        e = 0
-        for low in (s + max(overlap, size // 2), s + overlap):
-            inside = strength[low + 1 : s + size + 1]
-            if len(inside) and (best := inside.max()) >= SENTENCE:
-                e = low + 1 + len(inside) - 1 - int(np.argmax(inside[::-1] == best))
-                break
-        e = e or s + size
-        out.append((s, e))
-        s = e - overlap
-    if n:
-        out.append((s, n))
-    return out
+    return marked | (near & (underlined | short))
+
+
+class Stitcher:
+    """Plans the pieces of one text from its ranges, in order; holds what the current piece may still need.
+
+    A piece is (number, first and end character, tokens, boundary).
+    """
+
+    def __init__(self, size: int, overlap: int, pages: list | None):
+        self.size, self.overlap = size, overlap
+        pages = [s["start_char"] for s in pages or [] if s is not None and s["start_char"] is not None and s["start_char"] > 0]
+        self.pages = np.array(sorted(pages), np.int64)
+        self.starts, self.strength = np.empty(0, np.int64), np.empty(0, np.int8)
+        self.chars = self.pieces = 0
+        self.stop, self.breaks = -1, 0  # of the last token so far; -1: there was none
+
+    def feed(self, n_chars: int, starts: np.ndarray, seen: tuple[np.ndarray, bool, int, int, int, int]) -> list[tuple[int, int, int, int, str]]:
+        """Takes the next range; ``starts`` are characters of the range, ``seen`` is what :func:`detect` gives besides."""
+        strength, heading, stop, breaks, last_stop, last_breaks = seen
+        starts = starts + self.chars
+        if len(starts):
+            strength = strength.copy()
+            if stop < 0:
+                stop, breaks = self.stop, self.breaks + breaks
+            block = stop < 0 or breaks >= 2
+            strength[0] = (HEADING if heading else PARAGRAPH) if block else SENTENCE if stop or breaks else TOKEN
+            here = np.searchsorted(starts, self.pages)
+            strength[here[here < len(starts)]] = PAGE
+            self.pages = self.pages[here == len(starts)]
+            self.starts, self.strength = np.concatenate([self.starts, starts]), np.concatenate([self.strength, strength])
+        self.stop, self.breaks = (last_stop, last_breaks) if last_stop >= 0 else (self.stop, self.breaks + last_breaks)
+        self.chars += n_chars
+        return self._plan()
+
+    def _plan(self) -> list[tuple[int, int, int, int, str]]:
+        out, s, size, overlap = [], 0, self.size, self.overlap
+        while len(self.starts) - s > size:
+            e = 0
+            for low in (s + max(overlap, size // 2), s + overlap):
+                inside = self.strength[low + 1 : s + size + 1]
+                if len(inside) and (best := inside.max()) >= SENTENCE:
+                    e = low + 1 + len(inside) - 1 - int(np.argmax(inside[::-1] == best))
+                    break
+            e = e or s + size
+            out.append((self.pieces, int(self.starts[s]), int(self.starts[e]), e - s, NAMES[int(self.strength[e])]))
+            self.pieces += 1
+            s = e - overlap
+        self.starts, self.strength = self.starts[s:], self.strength[s:]
+        return out
 
+    def end(self) -> list[tuple[int, int, int, int, str]]:
+        """The last piece; it ends with the text."""
+        return [(self.pieces, int(self.starts[0]), self.chars, len(self.starts), "end")] if len(self.starts) else []
 
-def with_pages(starts: np.ndarray, strength: np.ndarray, spans: list | None) -> np.ndarray:
-    """Marks the first token at or after each page start (character offsets)."""
-    begin = [s["start_char"] for s in spans or [] if s is not None and s["start_char"] is not None and s["start_char"] > 0]
-    at = np.searchsorted(starts, np.array(begin, np.int64))
-    out = strength.copy()
-    out[at[at < len(out)]] = PAGE
-    return out
+
+PAGES = T.ArrayType(T.StructType([T.StructField("start_char", T.LongType())]))
 
 
 def _limits(size: Column, overlap: Column) -> tuple[Column, Column]:
@@ -167,54 +217,6 @@ def _source(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Colu
     return docs.select(F.col(f"`{doc_id}`").alias("id"), raw.alias("raw"), size.alias("size"), overlap.alias("overlap"), pages.alias("pages"))
 
 
-def _giants(src: DataFrame, range_bytes: int) -> DataFrame:
-    """The rows above one range, each with its own key; written once, so that a key never changes."""
-    return stage(src.where(F.octet_length("raw") > range_bytes).withColumn("key", F.expr("uuid()")))
-
-
-def _ranges(giants: DataFrame, range_bytes: int) -> DataFrame:
-    """id, key, no, window, lead (bytes of halo before), core (bytes of the range itself) of every range, spread over the cluster."""
-    number = F.sequence(F.lit(0), ((F.octet_length("raw") - 1) / range_bytes).cast("int"))
-    each = giants.select("*", F.explode(number).alias("no"))
-    begin = F.col("no") * range_bytes
-    lead = F.least(begin, F.lit(HALO))
-    window = F.substring("raw", begin - lead + 1, lead + range_bytes + HALO)
-    core = F.least(F.lit(range_bytes), F.octet_length("raw") - begin)
-    return each.select("id", "key", "size", "overlap", "no", lead.alias("lead"), core.alias("core"), window.alias("window")).repartition("key", "no")
-
-
-def _bytes(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint8)
-
-
-def token_counts(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Column, range_bytes: int = RANGE) -> DataFrame:
-    """doc_id, size and n_tokens of every text, counted range by range."""
-    src = _source(docs, doc_id, text, size, overlap, None).drop("pages")
-    small = src.where(F.col("raw").isNull() | (F.octet_length("raw") <= range_bytes))
-    out = T.StructType([src.schema["id"], T.StructField("size", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [count_starts(_bytes(x), 0, len(x)) if x else 0 for x in b.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), pa.array(n, pa.int64())], names=out.names)
-
-    ranges = _ranges(_giants(src, range_bytes), range_bytes)
-    part = T.StructType([*[ranges.schema[c] for c in ("id", "key", "size")], T.StructField("n_tokens", T.LongType())])
-
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [count_starts(_bytes(w), a, a + c) for w, a, c in zip(*(b.column(x).to_pylist() for x in ("window", "lead", "core")))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "key", "size")], pa.array(n, pa.int64())], names=part.names)
-
-    giants = ranges.mapInArrow(ranged, part).groupBy("id", "key", "size").agg(F.sum("n_tokens").alias("n_tokens")).drop("key")
-    return small.mapInArrow(whole, out).unionByName(giants).withColumnRenamed("id", doc_id)
-
-
-def oversized(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Column, range_bytes: int = RANGE) -> DataFrame:
-    """Texts with more tokens than their size."""
-    return token_counts(docs, doc_id, text, size, overlap, range_bytes).where(F.col("n_tokens") > F.col("size"))
-
-
 def _chars(window: np.ndarray) -> np.ndarray:
     """Characters before each byte position (one entry more than bytes)."""
     out = np.zeros(len(window) + 1, np.int64)
@@ -222,6 +224,10 @@ def _chars(window: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bytes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8)
+
+
 PIECE = [("piece_no", T.IntegerType()), ("text", T.StringType()), ("start_char", T.LongType()), ("end_char", T.LongType()), ("n_tokens", T.IntegerType()), ("boundary", T.StringType())]
 
 
@@ -229,6 +235,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Colum
     """doc_id, piece_no, text, start_char, end_char, n_tokens and the boundary before which the piece ends."""
     src = _source(docs, doc_id, text, size, overlap, spans)
     out = T.StructType([src.schema["id"], *[T.StructField(n, t) for n, t in PIECE]])
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,28 +244,73 @@ def pieces(docs: DataFrame, doc_id: str, text: str, size: Column, overlap: Colum
                 if not r["raw"]:
                     continue
                 window = _bytes(r["raw"])
-                where, strength = detect(window, 0, len(window))
-                starts = _chars(window)[where]
-                strength = with_pages(starts, strength, r["pages"])
+                seen = detect(window, 0, len(window))
+                before = _chars(window)
+                one = Stitcher(r["size"], r["overlap"], r["pages"])
                 decoded = r["raw"].decode("utf-8", "replace")
-                for no, (s, e) in enumerate(plan(strength, r["size"], r["overlap"])):
-                    to = starts[e] if e < len(starts) else len(decoded)
-                    piece = decoded[starts[s] : to].rstrip(" \t\n\f\r")
+                for no, a, z, n, how in [*one.feed(int(before[-1]), before[seen.at], seen[1:]), *one.end()]:
+                    piece = decoded[a:z].rstrip(" \t\n\f\r")
                     at.append(i)
-                    rows.append((no, piece, int(starts[s]), int(starts[s]) + len(piece), e - s, NAMES[int(strength[e])] if e < len(starts) else "end"))
+                    rows.append((no, piece, a, a + len(piece), n, how))
             cols = list(zip(*rows)) if rows else [()] * len(PIECE)
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=out.names)
 
     small = src.where(F.octet_length("raw") <= range_bytes).mapInArrow(whole, out)
-    giants = _giants(src, range_bytes)
-    return small.unionByName(_giant_pieces(giants, range_bytes, out)).withColumnRenamed("id", doc_id)
+    # Each giant row has its own key; written once, so that a key never changes.
+    giants = stage(src.where(F.octet_length("raw") > range_bytes).withColumn("key", F.expr("uuid()")))
+    return small.unionByName(_stitched(_ranges(giants, range_bytes), out)).withColumnRenamed("id", doc_id)
+
+
+def file_pieces(spark: SparkSession, paths: list[str], size: int = SIZE, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
+    """path and the pieces of each text file, which is read by ranges of bytes; no task reads more of one than a range and its halos.
+
+    The paths are URIs of a file system that all executors share and that Arrow can open.
+    """
+    sized = []
+    for path in paths:
+        where, files = hadoop_path(spark, path)
+        sized.append((path, files.getFileStatus(where).getLen()))
+    table = spark.createDataFrame(sized, "id string, length long").where("length > 0")
+    size_, overlap_ = _limits(F.lit(size), F.lit(overlap))
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes).cast("int"))).alias("no")
+    each = table.select("id", F.col("id").alias("key"), size_.alias("size"), overlap_.alias("overlap"), "length", number).repartition("key", "no")
+    out = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(n, t) for n, t in PIECE]])
+    fields = [T.StructField(n, t) for n, t in (("id", T.StringType()), ("key", T.StringType()), ("size", T.IntegerType()), ("overlap", T.IntegerType()), ("no", T.IntegerType()))]
+    fields += [T.StructField("pages", PAGES), T.StructField("lead", T.IntegerType()), T.StructField("core", T.IntegerType()), T.StructField("window", T.BinaryType())]
+    schema = T.StructType(fields)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (path, no, length) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "no", "length")))):
+                files, name = FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                begin = no * range_bytes
+                lead = min(begin, HALO)
+                with files.open_input_file(name) as f:
+                    window = f.read_at(min(lead + range_bytes + HALO, length - begin + lead), begin - lead)
+                one = b.slice(i, 1)
+                more = [pa.nulls(1, pa.list_(pa.struct([("start_char", pa.int64())]))), pa.array([lead], pa.int32()), pa.array([min(range_bytes, length - begin)], pa.int32()), pa.array([window], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("id", "key", "size", "overlap", "no")], *more], names=schema.names)
 
+    return _stitched(each.mapInArrow(read, schema), out, strict=True).withColumnRenamed("id", "path")
 
-def _giant_pieces(giants: DataFrame, range_bytes: int, out: T.StructType) -> DataFrame:
-    ranges = _ranges(giants, range_bytes)
-    keys = [ranges.schema[c] for c in ("id", "key", "size", "overlap", "no")]
-    table = T.StructType([*keys, T.StructField("n_chars", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("strength", T.BinaryType()), T.StructField("core", T.StringType())])
+
+def _ranges(giants: DataFrame, range_bytes: int) -> DataFrame:
+    """id, key, no, window, lead (bytes of halo before), core (bytes of the range itself) of every range, spread over the cluster."""
+    number = F.sequence(F.lit(0), ((F.octet_length("raw") - 1) / range_bytes).cast("int"))
+    each = giants.select("*", F.explode(number).alias("no"))
+    begin = F.col("no") * range_bytes
+    lead = F.least(begin, F.lit(HALO))
+    window = F.substring("raw", begin - lead + 1, lead + range_bytes + HALO)
+    core = F.least(F.lit(range_bytes), F.octet_length("raw") - begin)
+    pages = F.when(F.col("no") == 0, F.col("pages")).alias("pages")
+    return each.select("id", "key", "size", "overlap", "no", pages, lead.alias("lead"), core.alias("core"), window.alias("window")).repartition("key", "no")
+
+
+def _stitched(ranges: DataFrame, out: T.StructType, strict: bool = False) -> DataFrame:
+    keys = [ranges.schema[c] for c in ("id", "key", "size", "overlap", "no", "pages")]
+    seen = [T.StructField("strength", T.BinaryType()), T.StructField("heading", T.BooleanType()), *[T.StructField(n, T.IntegerType()) for n in ("stop", "breaks", "last_stop", "last_breaks")]]
+    table = T.StructType([*keys, T.StructField("n_chars", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())), *seen, T.StructField("body", T.StringType())])
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.bool_(), *[pa.int32()] * 4, pa.string()]
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,46 +322,61 @@ def _giant_pieces(giants: DataFrame, range_bytes: int, out: T.StructType) -> Dat
                     first += 1
                 while end < len(window) and window[end] & 0xC0 == 0x80:
                     end += 1
-                where, strength = detect(window, lead, lead + core)
+                found = detect(window, lead, lead + core)
                 chars = _chars(window)
-                rows.append((int(chars[end] - chars[first]), chars[where] - chars[first], strength.tobytes(), w[first:end].decode("utf-8", "replace")))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keys], *arrays], names=table.names)
+                body = w[first:end].decode("utf-8", "strict" if strict else "replace")
+                rows.append((int(chars[end] - chars[first]), chars[found.at] - chars[first], found.strength.tobytes(), *found[2:], body))
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keys], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=table.names)
 
     found = stage(ranges.mapInArrow(boundaries, table))
-    pages = giants.select("key", "pages")
-    planned = T.StructType([*keys[:2], T.StructField("no", T.IntegerType()), *[T.StructField(n, t) for n, t in PIECE if n != "text"], T.StructField("from", T.LongType()), T.StructField("length", T.LongType())])
-
-    def stitch(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return planned_arrow.empty_table()
-        left = left.sort_by("no")
-        n_chars = left.column("n_chars").to_numpy()
-        begin = np.concatenate([[0], np.cumsum(n_chars)])
-        starts = np.concatenate([np.array(s, np.int64) + o for s, o in zip(left.column("starts").to_pylist(), begin)])
-        strength = np.concatenate([np.frombuffer(s, np.int8) for s in left.column("strength").to_pylist()])
-        spans = right.column("pages").to_pylist()[0] if right.num_rows else None
-        strength = with_pages(starts, strength, spans)
-        size, overlap = left.column("size")[0].as_py(), left.column("overlap")[0].as_py()
-        rows = []
-        for no, (s, e) in enumerate(plan(strength, size, overlap)):
-            a, z = int(starts[s]), int(starts[e]) if e < len(starts) else int(begin[-1])
-            how = NAMES[int(strength[e])] if e < len(starts) else "end"
-            for r in range(int(np.searchsorted(begin, a, "right")) - 1, len(n_chars)):
-                if begin[r] >= z:
-                    break
-                u, v = max(a, int(begin[r])), min(z, int(begin[r + 1]))
-                rows.append((r, no, a, z, e - s, how, u - int(begin[r]), v - u))
-        one = left.select(["id", "key"]).take(pa.array([0] * len(rows), pa.int64()))
-        cols = list(zip(*rows)) if rows else [()] * 8
-        return pa.Table.from_arrays([*one.columns, *[pa.array(c, t) for c, t in zip(cols, planned_arrow.types[2:])]], schema=planned_arrow)
-
-    planned_arrow = to_arrow_schema(planned)
-    narrow = found.drop("core")
-    made = narrow.groupBy("key").cogroup(pages.groupBy("key")).applyInArrow(stitch, planned)
-    parts = made.join(found.select("key", "no", "core"), ["key", "no"])
-    parts = parts.withColumn("part", F.substring(F.col("core"), F.col("from").cast("int") + 1, F.col("length").cast("int"))).drop("core")
+    planned = T.StructType([*keys[:2], T.StructField("no", T.IntegerType()), *[T.StructField(n, t) for n, t in PIECE if n not in ("text", "end_char")], T.StructField("from", T.LongType()), T.StructField("length", T.LongType())])
+    plan_kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = one = None
+        who: list[tuple] = []
+        rows: list[tuple] = []
+        spread: list[tuple[int, int, int]] = []  # number, first and end character of the ranges that an open piece may touch
+
+        def place(made: list[tuple[int, int, int, int, str]]) -> None:
+            for no, a, z, n, how in made:
+                while spread[0][2] <= a:  # pieces begin in order
+                    del spread[0]
+                for r, u, v in spread:
+                    if u >= z:
+                        break
+                    who.append(key)
+                    rows.append((r, no, a, n, how, max(a, u) - u, min(z, v) - max(a, u)))
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(plan_kinds)
+            ids = list(zip(*who)) if who else [(), ()]
+            made = pa.RecordBatch.from_arrays([pa.array(ids[0], id_kind), pa.array(ids[1], pa.string()), *[pa.array(c, k) for c, k in zip(cols, plan_kinds)]], names=planned.names)
+            who.clear()
+            rows.clear()
+            return made
+
+        id_kind = to_arrow_type(keys[0].dataType)
+        for b in batches:
+            for r in b.to_pylist():
+                if one is None or r["key"] != key[1]:
+                    if one is not None:
+                        place(one.end())
+                    key, one = (r["id"], r["key"]), Stitcher(r["size"], r["overlap"], r["pages"])
+                    spread.clear()
+                spread.append((r["no"], one.chars, one.chars + r["n_chars"]))
+                what = (np.frombuffer(r["strength"], np.int8), *(r[f.name] for f in seen[1:]))
+                place(one.feed(r["n_chars"], np.array(r["starts"], np.int64), what))
+            yield batch()
+        if one is not None:
+            place(one.end())
+            yield batch()
+
+    # One text's ranges go to one task in order, which streams over them; texts are spread.
+    ordered = found.drop("body").repartition("key").sortWithinPartitions("key", "no")
+    parts = ordered.mapInArrow(stitch, planned).join(found.select("key", "no", "body"), ["key", "no"])
+    parts = parts.withColumn("part", F.substring(F.col("body"), F.col("from").cast("int") + 1, F.col("length").cast("int"))).drop("body")
     joined = parts.groupBy("id", "key", "piece_no", "start_char", "n_tokens", "boundary").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("p"))
     body = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["part"]), ""), "[ \\t\\n\\f\\r]+\\z", "")
     full = joined.select("id", "piece_no", body.alias("text"), "start_char", "n_tokens", "boundary")

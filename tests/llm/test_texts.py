@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe, markup, mixing, repetition, splitting
+from tarnwick.llm import bpe, markup, mixing, queries, repetition, splitting
+
+SF = "/root/testdata/sf0.001"
 
 tiktoken = pytest.importorskip("tiktoken")
 public = pytest.importorskip("public_tokenizers")
@@ -61,30 +63,47 @@ def test_repetition_against_brute_force(monkeypatch):
     texts = [None, "", " \n", "a b c", "x " * 1000, "Ünï_cödé 中文 １２ " * 20] + [" ".join(rng.choice("ab") for _ in range(rng.randrange(120))) for _ in range(200)]
     for chunk in (1 << 20, 64):
         monkeypatch.setattr(repetition, "CHUNK", chunk)
-        n, r = repetition.measure(texts)
+        n, _, r = repetition.measure(texts)
         assert list(zip(n.tolist(), r.tolist())) == [repeated_brute(t) for t in texts]
 
 
 def test_repetition_colliding_codes(monkeypatch):
     monkeypatch.setattr(repetition, "_MIX", repetition.np.uint64(0))  # every stretch gets the same code
     text = "a b c d e f g h i j k a b c d e f g h"
-    n, r = repetition.measure([text, text[::-1]])
+    n, _, r = repetition.measure([text, text[::-1]])
     assert [tuple(x) for x in zip(n.tolist(), r.tolist())] == [repeated_brute(text), repeated_brute(text[::-1])]
 
 
+def test_the_estimate_is_never_below_the_share():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c d e f g h i j", "same words come again and again in here"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    n, d, r = repetition.measure(texts)
+    assert ((n - d) >= r).all() and (r > 0).any() and (n - d > r).any()
+    _, _, some = repetition.measure(texts, wanted=lambda n, d: n % 2 == 0)
+    assert [x if m % 2 == 0 else -1 for x, m in zip(r.tolist(), n.tolist())] == some.tolist()
+
+
 def test_controlled_cutoffs(spark):
-    rows = [("s", 0.07 if i < 5 else 0.0, False) for i in range(2000)] + [("s", 0.6, True)] * 50 + [("tiny", 0.0, False)] * 3 + [("noisy", 0.26 if i % 3 == 0 else 0.0, False) for i in range(2000)]
-    df = spark.createDataFrame(rows, "stratum string, share double, bad boolean")
-    got = {c["stratum"]: c for c in repetition.controlled_cutoffs(df, "share", "bad", "stratum")}
-    assert got["s"]["cutoff"] == 0.05 and got["s"]["certified"] and got["s"]["errors"] == 5 and got["s"]["bound"] <= 0.02
-    assert got["noisy"]["cutoff"] == 0.30 and got["noisy"]["certified"]
-    assert got["tiny"]["cutoff"] == 0.30 and not got["tiny"]["certified"]
-    assert repetition.controlled_cutoffs(df.where("false"), "share", "bad", "stratum") == []
+    rows = [("s", 0.07 if i < 5 else 0.9, True) for i in range(2000)] + [("s", 0.0, False)] * 50 + [("tiny", 0.9, True)] * 3 + [("noisy", 0.26 if i % 3 == 0 else 0.9, True) for i in range(2000)] + [("none", 0.5, None)]
+    df = spark.createDataFrame(rows, "stratum string, estimate double, bad boolean")
+    got = {c["stratum"]: c for c in repetition.controlled_cutoffs(df, "estimate", "bad", "stratum")}
+    assert got["s"]["cutoff"] == 0.30 and got["s"]["certified"] and got["s"]["lost"] == 5 and 0 < got["s"]["bound"] <= 0.05
+    assert got["noisy"]["cutoff"] == 0.25 and got["noisy"]["certified"] and got["noisy"]["lost"] == 0
+    assert (got["tiny"]["cutoff"], got["tiny"]["certified"]) == (got["none"]["cutoff"], got["none"]["certified"]) == (0.0, False)
+    assert repetition.controlled_cutoffs(df.where("false"), "estimate", "bad", "stratum") == []
     assert repetition.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert repetition.upper_bound(3, 3, 0.05) == 1.0
-    measured = repetition.repetition(docs(spark, "x y z " * 30, "plain", None), "doc_id", "text")
-    kept = repetition.repetitive(measured, list(got.values()), F.lit("s")).collect()
-    assert [r["doc_id"] for r in kept] == [0]
+    cutoffs = [{"stratum": "medium", "cutoff": 0.3}]
+    done = {r["doc_id"]: r for r in repetition.repetition(docs(spark, "x y z " * 30, " ".join(map(str, range(80))), None), "doc_id", "text", cutoffs=cutoffs).collect()}
+    assert done[0]["share"] > 0.8 and done[1]["share"] is None and done[1]["estimate"] == 0.0
+    assert (done[2]["n_words"], done[2]["share"], done[2]["stratum"]) == (0, 0.0, "short")  # a stratum without a cutoff is measured
+
+
+def test_cutoffs_decide_what_is_found(spark, monkeypatch):
+    every = {r["doc_id"] for r in queries.p8_found(spark, SF).collect()}
+    assert every == {r["doc_id"] for r in queries.p8_shares(spark, SF).where("share >= 0.30").collect()} != set()
+    monkeypatch.setattr(repetition, "controlled_cutoffs", lambda *_: [{"stratum": b, "cutoff": 1.1} for b, _ in repetition.BANDS])
+    assert queries.p8_found(spark, SF).count() == 0
 
 
 def test_fill():
@@ -111,6 +130,8 @@ def test_mix(spark):
     assert rep["a"]["target_tokens"] == pytest.approx(0.5 * 0.8 * total) and rep["a"]["reached_tokens"] == 140
     assert rep["B"]["reached_tokens"] == 80 and rep["gone"]["reached_tokens"] == 0
     used = mixing.select(sizes, plan).collect()
+    exact = mixing.report(mixing.fit(sizes, spark.createDataFrame([("m", "b", 20 / total, 1, 1.0), ("n", "b", 20.5 / total, 1, 1.0), ("o", "b", 19.5 / total, 1, 1.0)], targets.schema))).collect()
+    assert {r["mix_id"]: (r["short"], r["reached_tokens"]) for r in exact} == {"m": (False, 20), "n": (True, 20), "o": (False, 15)}
     reached = {}
     for r in used:
         reached[r["source"]] = reached.get(r["source"], 0) + r["n_tokens"] * r["repeats"]
@@ -152,13 +173,42 @@ def test_pieces_do_not_depend_on_ranges(spark):
     assert sorted(whole, key=key) == sorted(parts, key=key)
     check_pieces(texts, whole, 20, 6)
     assert {r["boundary"] for r in whole} >= {"paragraph", "heading", "end"}
-    counts = {r["doc_id"]: r["n_tokens"] for r in splitting.token_counts(df, "doc_id", "text", F.lit(20), F.lit(6), range_bytes=257).collect()}
-    assert counts == {i: len(TOKEN.findall(t or "")) for i, t in enumerate(texts)}
-    big = {r["doc_id"] for r in splitting.oversized(df, "doc_id", "text", F.lit(20), F.lit(0)).collect()}
-    assert big == {i for i, t in enumerate(texts) if len(TOKEN.findall(t or "")) > 20}
+    assert {r["doc_id"] for r in whole if r["piece_no"] == 1} == {i for i, t in enumerate(texts) if len(TOKEN.findall(t or "")) > 20}
     assert splitting.pieces(df.where("false"), "doc_id", "text", F.lit(20), F.lit(6)).count() == 0
 
 
+def test_gaps_tokens_and_marked_lines_of_any_length(spark, tmp_path):
+    halo = splitting.HALO
+    texts = [
+        "one two.\n" + " " * (3 * halo) + "\nthree four " * 9, "a " * 9 + "x" * (3 * halo) + ". b " * 9, "a b c d e f\n\n# " + "long " * (halo // 2) + "\n\ng h i", "a " + "\n" * (3 * halo) + "b c " * 9,
+        "tail " * 20 + " " * (2 * halo), "\n" * (2 * halo) + "head " * 20, "x" * (3 * halo), "end.\r" + "\n" * halo + "y z " * 9,
+    ]
+    df = docs(spark, *texts)
+    key = lambda r: (r["doc_id"], r["piece_no"])
+    whole = sorted(splitting.pieces(df, "doc_id", "text", F.lit(7), F.lit(2)).collect(), key=key)
+    for size in (64, 1000, halo, halo + 1):
+        assert sorted(splitting.pieces(df, "doc_id", "text", F.lit(7), F.lit(2), range_bytes=size).collect(), key=key) == whole
+    check_pieces(texts, whole, 7, 2)
+    assert [r["boundary"] for r in whole if r["doc_id"] == 2][0] == "heading" and [r["boundary"] for r in whole if r["doc_id"] == 3][0] == "token"
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    paths = [f"file://{tmp_path}/{n}.txt" for n in [*range(len(texts)), "empty"]]
+    for size in (1000, splitting.RANGE):  # files are read by ranges
+        got = sorted(((r["path"], *tuple(r)[1:]) for r in splitting.file_pieces(spark, paths, 7, 2, size).collect()))
+        assert got == [(f"file://{tmp_path}/{r['doc_id']}.txt", *tuple(r)[1:]) for r in whole]
+    (tmp_path / "bad.txt").write_bytes(b"\xff" * 50)
+    with pytest.raises(Exception, match="utf-8"):
+        splitting.file_pieces(spark, [f"file://{tmp_path}/bad.txt"]).collect()
+
+
+def test_the_mix_holds_what_its_report_says(spark):
+    sums = {(r["mix_id"], r["source"]): r["n"] for r in queries.p7_mix(spark, SF).groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n")).collect()}
+    report = queries.p7_report(spark, SF).collect()
+    assert {(r["mix_id"], r["source"]): r["reached_tokens"] for r in report if r["reached_tokens"]} == {k: n for k, n in sums.items() if n}
+    assert {(r["mix_id"], r["source"]) for r in report if r["short"]} == {tuple(r) for r in queries.p7_found(spark, SF).collect()}
+
+
 def test_natural_cuts(spark):
     text = "# One\n\n" + "a b c d. " * 3 + "\n\n# Two\n\n" + "e f g h. " * 3
     got = [r["text"] for r in splitting.pieces(docs(spark, text), "doc_id", "text", F.lit(18), F.lit(99)).where("piece_no = 0").collect()]
