@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnwick.llm import borda, bpe, knn, markup, mixing, repetition, splitting
 from tarnwick.llm.topn import top_n
+from tarnwick.operators import dense
 from tarnwick.runtime import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +39,8 @@ P2_DIM, P2_K, P2_SHARE, P2_RECALL = 128, 10, 0.95, 0.99
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = knn.neighbours(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding", P2_DIM, P2_K, P2_RECALL, least=P2_SHARE)
+    """Of the lists of all chunks, the pairs that are similar enough."""
+    near = knn.neighbours(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding", P2_DIM, P2_K, P2_RECALL).where(F.col("similarity") >= P2_SHARE)
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
 
 
@@ -59,6 +62,25 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("chunk_id", "neighbour", F.round("similarity", 6).alias("similarity"), "position")
 
 
+#: Chunks whose lists are held against an exhaustive search, at most about so many (chosen by hash).
+P2_PROBES = 400
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of the lists, measured over other probes than those of the calibration: one row."""
+    chunks = _table(spark, sf_dir, "chunks")
+    every = max(1, chunks.count() // P2_PROBES)
+    asks = F.pmod(F.xxhash64(F.lit(99), "chunk_id"), F.lit(every)) == 0
+    found = knn.neighbours(chunks, "chunk_id", "embedding", P2_DIM, P2_K, P2_RECALL, queries=asks).select("chunk_id", "neighbour")
+    usable = chunks.where(F.col("chunk_id").isNotNull() & knn.usable(F.col("embedding"), P2_DIM)).dropDuplicates(["chunk_id"])
+    asked = usable.where(asks).select(F.col("chunk_id").alias("qid"), "embedding")
+    true = dense.top_k(usable, asked, P2_K + 1, P2_DIM).where("qid != chunk_id").select(F.col("qid").alias("chunk_id"), F.col("chunk_id").alias("neighbour"), "score")
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("score"), "neighbour"))
+    true = true.withColumn("place", place).where(F.col("place") <= P2_K)
+    met = true.join(found.withColumn("found", F.lit(True)), ["chunk_id", "neighbour"], "left")
+    return met.agg(F.count_distinct("chunk_id").alias("probes"), F.count("*").alias("neighbours"), F.count("found").alias("found"), F.round(F.try_divide(F.count("found"), F.count("*")), 4).alias("recall"))
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the limits of their collection (null where it has none)."""
     limits = _table(spark, sf_dir, "collections").select(F.col("name").alias("collection"), "chunk_size", "chunk_overlap").dropDuplicates(["collection"])
@@ -232,6 +254,7 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_neighbours": p2_neighbours,
+        "p2_recall": p2_recall,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
