@@ -1,23 +1,26 @@
 """Markup residue in texts: labelled by minimum cut, converted to clean text.
 
-Candidates.  Patterns of HTML, Markdown, wiki and LaTeX give candidate spans with
-the log-odds that a linear classifier gives them (``WEIGHTS``): strong for what
-only markup can be (an attributed tag, a closed template), weak for what text also
-does ("1. " at a line start), negative for look-alikes (``__init__``, a type
-parameter).  Comparisons, paths, amounts, model tokens, bracketed numbers and plain
-bullets match no pattern.
-
-Labelling.  Spans are nodes; the log-odds become capacities to the terminals; spans
-near each other in the text (adjacency) and in the document tree (open and close
-tags, parents, fences, environments, rows of one table or list) are joined by
-smoothness edges.  The minimum cut separates residue from content: a weak span
-follows its surroundings, a strong one decides alone.  Components whose spans all
-lean one way have that labelling as their minimum cut; the others get their maximum
-flow (Dinic).
-
-Conversion.  Residue spans are replaced by what they stand for; headings, lists,
-code, tables and formulas stay as blocks of that kind, scripts, comments, preambles
-and page furniture go.
+Nodes.  Patterns of HTML, Markdown, wiki and LaTeX give candidate spans; what is left
+between blank lines and block elements gives text blocks.  Comparisons, paths, amounts,
+model tokens, bracketed numbers and plain bullets match no pattern.
+
+Costs.  Two logistic classifiers give the log-odds that a span is markup, and not what
+only looks like it (``__init__``, a type parameter, a numbered line), and that a block is
+page furniture (navigation, notices), and not content.  They are fitted on ``LABELLED``
+composed texts (:mod:`tarnwick.llm.markup_labels`), once per driver process; the workers
+get the weights.
+
+Labelling.  The log-odds become capacities to the terminals.  Smoothness edges join spans
+that are near in the text and in the document tree (open and close tags, parents, fences,
+environments, rows of one table or list), and blocks that follow each other or have the
+same parent element.  The minimum cut separates residue from content: a weak node follows
+its surroundings, a strong one decides alone.
+
+Conversion.  Residue spans are replaced by what they stand for; headings, lists, code,
+tables and formulas stay as blocks of that kind, scripts, comments, preambles and page
+furniture go.
+
+Every scan is linear in the text, also where elements, fences or formulas are never closed.
 
 Defined results: null texts stay null, without blocks; empty and blank texts have
 none; the stated media type is not read; repeated rows are converted each; a text
@@ -32,16 +35,21 @@ import html.entities
 import math
 import re
 from bisect import bisect_right
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import accumulate, chain, groupby
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick.llm.markup_labels import LABELLED, texts
+from tarnwick.llm.mincut import Edge, cut
+
 # Element names of HTML and common wiki extensions.
 TAGS = (
     "a abbr acronym address article aside audio b base bdi bdo big blockquote body br button canvas caption center cite "
@@ -58,29 +66,27 @@ CERTAIN = set("abbr acronym bdi bdo blockquote colgroup dd dfn div dl dt em fiel
 # Python's double-underscore names, which are identifiers and no bold text.
 DUNDER = set("abs add all and annotations bool bytes call class contains copy del delattr delitem dict dir doc enter eq exit file float format ge get getattr getitem gt hash iadd import index init int invert iter le len lt main missing mod module mul name ne neg new next or path pos pow qualname radd reduce repr reversed rmul round set setattr setitem sizeof slots str sub truediv version xor".split())
 
-#: Log-odds of residue by kind of span.
-WEIGHTS = {
-    "tag": 6.0, "bare": -1.0, "open": 3.0, "element": 8.0, "comment": 8.0, "entity": 6.0, "escaped": 6.0, "atx": 4.0, "setext": 4.0, "fence": 6.0,
-    "tick": 4.0, "bold": 5.0, "under": 3.0, "dunder": -6.0, "em": 4.0, "strike": 5.0, "link": 6.0, "image": 6.0, "foot": 6.0, "mdtable": 6.0,
-    "pipe": 2.0, "task": 5.0, "dash": 1.5, "num": -0.5, "quote": 3.0, "rule": 2.0, "wikilink": 6.0, "template": 6.0, "wikihead": 5.0,
-    "apostrophes": 5.0, "wikitable": 6.0, "command": 6.0, "math": 5.0, "escape": 3.0,
-    "emu": 3.0, "auto": 5.0, "refdef": 6.0, "reflink": 6.0, "external": 6.0,
-}
-#: Smoothness: adjacency at distance 0 and its range in characters; tree edges.
-NEAR, REACH, PARENT, PAIR, ROW = 0.8, 60.0, 0.8, 4.0, 1.0
+#: Kinds of spans.
+KINDS = (
+    "tag bare open element comment entity escaped atx setext fence tick bold under dunder em strike link image foot mdtable pipe task dash num quote rule "
+    "wikilink template wikihead apostrophes wikitable command math escape emu auto refdef reflink external"
+).split()
+#: Smoothness: adjacency at distance 0 and its range in characters; tree edges of spans; neighbours and siblings of blocks.
+NEAR, REACH, PARENT, PAIR, ROW, NEXT, SIBLING = 0.8, 60.0, 0.8, 4.0, 1.0, 0.6, 0.4
 
 _NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
 _ATTR = r"(?:\s+[A-Za-z_:@-][\w:.-]*(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=]+))?)*"
 _TAG = re.compile(rf"<(/?)({_NAMES})({_ATTR})\s*(/?)>", re.I)
-_ESCAPED = re.compile(rf"&(?:amp;)?lt;/?(?:{_NAMES})(?:(?!&(?:amp;)?[lg]t;)[^<>\n]){{0,200}}&(?:amp;)?gt;", re.I)
-_ELEMENT = re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?-->|<!doctype[^<>]*>|<!\[CDATA\[|\]\]>", re.I | re.S)
+_ESCAPED = re.compile(rf"&(?:amp;)?lt;/?(?:{_NAMES})(?:(?!&(?:amp;)?[lg]t;)[^<>\n])*&(?:amp;)?gt;", re.I)
+_ELEMENT = re.compile(r"<(script|style)\b[^<>]*>", re.I)
+_ELEMENT_END = re.compile(r"</(script|style)\s*>", re.I)
+_COMMENT = re.compile(r"<!--|<!doctype[^<>]*>|<!\[CDATA\[|\]\]>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _ENTITIES = {n for n in html.entities.html5 if n.endswith(";")}
 _ATX = re.compile(r"^( {0,3})(#{1,6})[ \t]+(?=\S)", re.M)
 _SETEXT = re.compile(r"\n((?:={3,}|-{3,})[ \t]*)(?=\r?(?:\n|\Z))")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n`]*$", re.M)
-_TICK = re.compile(r"(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
+_TICKS = re.compile(r"`+|\n")
 _BOLD = re.compile(r"(\*\*)(?=\S)[^*\n]+?(?<=\S)(\*\*)")
 _UNDER = re.compile(r"(?<!\w)(__)(?=\S)([^_\n]+?)(?<=\S)(__)(?!\w)")
 _EM = re.compile(r"(?<![\w*])(\*)(?=[^\s*])[^*\n]+?(?<=[^\s*])(\*)(?![\w*])")
@@ -95,17 +101,19 @@ _FOOT = re.compile(r"\[\^([^\[\]\s]+)\](:?)")
 _MDTABLE = re.compile(r"^\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\r?$", re.M)
 _PIPE = re.compile(r"^\|(?![-}|+])[^\n]*\|[ \t]*\r?$", re.M)
 _LIST = re.compile(r"^([ \t]*)([-+*])[ \t]+(\[[ xX]\][ \t]+)?(?=\S)", re.M)
-_NUM = re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+(?=\S)", re.M)
+_NUM = re.compile(r"^[ \t]*\d+[.)][ \t]+(?=\S)", re.M)
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(?=[^\s=])", re.M)
 _RULE = re.compile(r"^(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})\r?$", re.M)
 _WIKILINK = re.compile(r"\[\[([^\[\]\n]+)\]\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]+)\}\}|\{\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}\}")
-_WIKIHEAD = re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*\r?$", re.M)
+_WIKIHEAD = re.compile(r"(={2,6})([^=\n]+)(={2,6})")
 _APOS = re.compile(r"('{2,5})(?=[^\s'])([^'\n]+?(?:'[^'\n]+?)*)('{2,5})(?!')")
 _WIKITABLE = re.compile(r"^(?:\{\|[^\n]*|\|\}[^\n]*|\|-[^\n|]*)$", re.M)
 _WIKIROW = re.compile(r"^[|!](?![-}+])[^\n]*(?:\|\||!!)[^\n]*$", re.M)
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted|equation|align|math|displaymath|gather)(\*?)\}.*?\\end\{\1\2\}", re.S)
-_MATH = re.compile(r"\$\$(?P<a>.+?)\$\$|\\\[(?P<b>.+?)\\\]|\\\((?P<c>[^\n]+?)\\\)|(?<![\w$\\])\$(?=\S)(?P<d>[^$\n]*?[\\^_{=][^$\n]*?)(?<=\S)\$(?![\d\w])|(?<![\w$\\])\$(?P<e>[A-Za-z])\$(?![\d\w])", re.S)
+_VERBATIM = re.compile(r"\\(begin|end)\{(verbatim|lstlisting|minted|equation|align|math|displaymath|gather)(\*?)\}")
+_TABULAR = re.compile(r"\\(begin|end)\{(tabular|array)()\}")
+_MATH = re.compile(r"\$\$|\\[\[(]|\$")
+_DOLLARS = re.compile(r"(?<![\w$\\])\$(?=\S)([^$\n]+)(?<=\S)\$(?![\d\w])")
 _COMMAND = re.compile(r"\\([A-Za-z]+)(\*?)((?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})*)")
 _NO_COMMAND = re.compile(r"[A-Za-z]:\\[^\s]*|\\\\[\w.]+\\[^\s]*")
 # LaTeX commands without an argument that mark structure.
@@ -114,37 +122,152 @@ _ESCAPE = re.compile(r"\\\\(?=[ \t]*\r?$)|\\[%&#_{}$](?!\w*\\)", re.M)
 
 
 #: Line starts at which a line pattern can match at all; a literal first character lets the search skip ahead.
-_LINE = re.compile(r"\n(?=[ \t]*[#>|=~`!{*+\-_:\d])")
+_LINE = re.compile(r"\n(?=[ \t]*([#>|=~`!{*+\-_:\d]))")
 
 
 class Span(NamedTuple):
     start: int
     end: int
     kind: str
-    weight: float
     value: str
     tie: str  # spans with the same tie are rows of one structure
 
 
+class Cover:
+    """Whether places lie in any of some regions, which may overlap; what is added counts from the next sealing on."""
+
+    def __init__(self, regions: list[tuple[int, int]] = ()):
+        self.regions = list(regions)
+        self.seal()
+
+    def add(self, start: int, end: int) -> None:
+        self.regions.append((start, end))
+
+    def seal(self) -> None:
+        self.regions.sort()
+        self.begins = [a for a, _ in self.regions]
+        self.reach = list(accumulate((b for _, b in self.regions), max))
+
+    def free(self, at: int) -> bool:
+        i = bisect_right(self.begins, at) - 1
+        return i < 0 or self.reach[i] <= at
+
+
+def _elements(text: str) -> Iterator[tuple[int, int]]:
+    """Scripts and style sheets from their opening to the next closing tag of the same name."""
+    ends: dict[str, list[re.Match]] = {}
+    for m in _ELEMENT_END.finditer(text):
+        ends.setdefault(m[1].lower(), []).append(m)
+    begins = {name: [m.start() for m in found] for name, found in ends.items()}
+    at = 0
+    for m in _ELEMENT.finditer(text):
+        name = m[1].lower()
+        i = bisect_right(begins.get(name, ()), m.end() - 1)
+        if m.start() >= at and i < len(ends.get(name, ())):
+            at = ends[name][i].end()
+            yield m.start(), at
+
+
+def _comments(text: str) -> Iterator[tuple[int, int]]:
+    at, open_ = 0, True
+    for m in _COMMENT.finditer(text):
+        if m.start() < at:
+            continue
+        if m[0] != "<!--":
+            yield m.span()
+        elif open_:
+            end = text.find("-->", m.end())
+            open_ = end >= 0  # no later comment ends either
+            if open_:
+                at = end + 3
+                yield m.start(), at
+
+
+def _environments(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, int, int, str]]:
+    """begin, inner begin, inner end, end and name from each opening to the next closing of the same name, not within another."""
+    found = list(pattern.finditer(text))
+    ends: dict[tuple[str, str], list[re.Match]] = {}
+    for m in found:
+        if m[1] == "end":
+            ends.setdefault((m[2], m[3]), []).append(m)
+    begins = {name: [m.start() for m in own] for name, own in ends.items()}
+    at = 0
+    for m in found:
+        if m[1] == "begin" and m.start() >= at:
+            own = ends.get((m[2], m[3]), ())
+            i = bisect_right(begins.get((m[2], m[3]), ()), m.end() - 1)
+            if i < len(own):
+                at = own[i].end()
+                yield m.start(), m.end(), own[i].start(), at, m[2]
+
+
+def _formulas(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """begin, end, inline or formula, and the body of formulas between dollars or escaped brackets."""
+    at = 0
+    none = {"$$": len(text), "\\]": len(text), "\\)": len(text)}  # from where on the closing mark does not come
+    for m in _MATH.finditer(text):
+        begin, mark = m.span()[0], m[0]
+        if begin < at:
+            continue
+        if mark == "$":
+            if d := _DOLLARS.match(text, begin):
+                body = d[1]
+                if len(body) == 1 and body.isascii() and body.isalpha() or any(c in body for c in "\\^_{="):
+                    at = d.end()
+                    if not re.match(r"\$\d[\d.,]*\s", d[0]):
+                        yield begin, at, "inline", body.strip()
+            continue
+        close = {"$$": "$$", "\\[": "\\]", "\\(": "\\)"}[mark]
+        if begin >= none[close]:
+            continue
+        end = text.find(close, begin + 3)
+        if end < 0:
+            none[close] = min(none[close], begin)
+        elif mark != "\\(" or "\n" not in text[begin:end]:
+            at = end + 2
+            yield begin, at, "inline" if mark == "\\(" else "formula", text[begin + 2 : end].strip()
+
+
+def _ticks(text: str) -> Iterator[tuple[int, int, int]]:
+    """begin, end and length of the marks of code in a line: a run of backticks to the next run of the same length."""
+    for line, runs in groupby(((m.start(), m.end()) for m in _TICKS.finditer(text)), key=lambda r: text[r[0]] == "\n"):
+        if line:
+            continue
+        own = list(runs)
+        later: dict[int, list[int]] = {}
+        for i in range(len(own) - 1, -1, -1):
+            later.setdefault(own[i][1] - own[i][0], []).append(i)
+        i = 0
+        while i < len(own):
+            n = own[i][1] - own[i][0]
+            while later[n] and later[n][-1] <= i:
+                later[n].pop()
+            if later[n]:
+                j = later[n][-1]
+                yield own[i][0], own[j][1], n
+                i = j
+            i += 1
+
+
 def candidates(text: str) -> list[Span]:
     """Candidate spans in order; spans inside code, scripts and formulas are left out."""
     out: list[Span] = []
-    shut: list[tuple[int, int]] = []  # what is taken whole
-
-    def add(start: int, end: int, kind: str, value: str = "", tie: str = "", weight: float | None = None) -> None:
-        out.append(Span(start, end, kind, WEIGHTS[kind] if weight is None else weight, value, tie))
+    shut = Cover()  # what is taken whole
+    free = shut.free
 
-    def free(start: int) -> bool:
-        return not any(a <= start < b for a, b in shut)
+    def add(start: int, end: int, kind: str, value: str = "", tie: str = "") -> None:
+        out.append(Span(start, end, kind, value, tie))
 
     if "<" in text:
-        for m in _ELEMENT.finditer(text):
-            add(m.start(), m.end(), "element")
-            shut.append(m.span())
-        for m in _COMMENT.finditer(text):
-            if free(m.start()):
-                add(m.start(), m.end(), "comment")
-                shut.append(m.span())
+        for a, b in _elements(text):
+            add(a, b, "element")
+            shut.add(a, b)
+        shut.seal()
+        for a, b in _comments(text):
+            if free(a):
+                add(a, b, "comment")
+                shut.add(a, b)
+        shut.seal()
     if "```" in text or "~~~" in text:
         opened: re.Match | None = None
         for m in _FENCE.finditer(text):
@@ -155,43 +278,39 @@ def candidates(text: str) -> list[Span]:
             elif m[1][0] == opened[1][0] and len(m[1]) >= len(opened[1]) and m[0].strip() == m[1]:
                 add(opened.start(), opened.end(), "fence", "open", f"f{opened.start()}")
                 add(m.start(), m.end(), "fence", "close", f"f{opened.start()}")
-                shut.append((opened.end(), m.start()))
+                shut.add(opened.end(), m.start())
                 opened = None
         if opened is not None:
             add(opened.start(), opened.end(), "fence", "open")
-            shut.append((opened.end(), len(text)))
+            shut.add(opened.end(), len(text))
+        shut.seal()
     if "\\begin{" in text:
-        for m in _VERBATIM.finditer(text):
-            if free(m.start()):
-                kind = "code" if m[1] in ("verbatim", "lstlisting", "minted") else "formula"
-                body = text[m.start() : m.end()]
-                body = body[body.index("}") + 1 : body.rindex("\\end{")].strip("\r\n")
-                add(m.start(), m.end(), "math", f"{kind}:{body}")
-                shut.append(m.span())
+        for a, u, v, b, name in _environments(_VERBATIM, text):
+            if free(a):
+                kind = "code" if name in ("verbatim", "lstlisting", "minted") else "formula"
+                body = text[u:v].strip("\r\n")
+                add(a, b, "math", f"{kind}:{body}")
+                shut.add(a, b)
+        shut.seal()
     if "$" in text or "\\[" in text or "\\(" in text:
-        for m in _MATH.finditer(text):
-            if free(m.start()) and not re.match(r"\$\d[\d.,]*\s", m[0]):
-                body = next(g for g in m.groups() if g is not None)
-                add(m.start(), m.end(), "math", ("inline:" if m["d"] or m["c"] or m["e"] else "formula:") + body.strip())
-                shut.append(m.span())
+        for a, b, how, body in _formulas(text):
+            if free(a):
+                add(a, b, "math", f"{how}:{body}")
+                shut.add(a, b)
+        shut.seal()
     if "{{" in text:
         for m in _TEMPLATE.finditer(text):
             if free(m.start()):
                 add(m.start(), m.end(), "template", m[1] or m[2])
-                shut.append(m.span())
+                shut.add(*m.span())
+        shut.seal()
     if "`" in text:
-        for m in _TICK.finditer(text):
-            if free(m.start()):
-                n = len(m[1])
-                add(m.start(), m.start() + n, "tick", "", f"k{m.start()}")
-                add(m.end() - n, m.end(), "tick", "", f"k{m.start()}")
-                shut.append(m.span())
-    shut.sort()
-    begins = [a for a, _ in shut]
-    # shut regions never overlap, so one of them is looked up by bisection from here on
-    def free(start: int) -> bool:  # noqa: F811
-        i = bisect_right(begins, start) - 1
-        return i < 0 or start >= shut[i][1]
+        for a, b, n in _ticks(text):
+            if free(a):
+                add(a, a + n, "tick", "", f"k{a}")
+                add(b - n, b, "tick", "", f"k{a}")
+                shut.add(a, b)
+        shut.seal()
 
     def pair(pattern: re.Pattern, kind: str) -> None:
         for m in pattern.finditer(text):
@@ -212,25 +331,24 @@ def candidates(text: str) -> list[Span]:
             if free(m.start()):
                 name = m[2].lower()
                 plain = not m[1] and not m[3] and name not in VOID and name not in closes
-                if plain and (name in CERTAIN or (name in BLOCK and fresh)):
-                    add(m.start(), m.end(), "tag", m[0], weight=WEIGHTS["open"])
-                else:
-                    add(m.start(), m.end(), "bare" if plain else "tag", m[0])
+                sure = name in CERTAIN or (name in BLOCK and fresh)
+                add(m.start(), m.end(), "tag" if not plain else "open" if sure else "bare", m[0])
     if "&" in text:
-        gone: list[tuple[int, int]] = []
+        gone = Cover()
         for m in _ESCAPED.finditer(text):
             if free(m.start()):
                 add(m.start(), m.end(), "escaped", html.unescape(html.unescape(m[0])))
-                gone.append(m.span())
+                gone.add(*m.span())
+        gone.seal()
         for m in _ENTITY.finditer(text):
-            if (m[0][1] == "#" or m[0][1:] in _ENTITIES) and free(m.start()) and not any(a <= m.start() < b for a, b in gone):
+            if (m[0][1] == "#" or m[0][1:] in _ENTITIES) and free(m.start()) and gone.free(m.start()):
                 add(m.start(), m.end(), "entity", html.unescape(m[0]))
     if "===" in text or "---" in text:
         under = set()
         for m in _SETEXT.finditer(text):
             first = text.rfind("\n", 0, m.start()) + 1
             line = text[first : m.start()].rstrip("\r")
-            if line.strip() and line[0] not in "#> \t|" and "|" not in line and free(m.start(1)) and not _WIKIHEAD.match(line):
+            if line.strip() and line[0] not in "#> \t|" and "|" not in line and free(m.start(1)) and not _WIKIHEAD.fullmatch(line.rstrip(" \t")):
                 add(first, first, "setext", "head", f"s{first}")
                 add(m.start(1), m.end(1), "setext", "line", f"s{first}")
                 under.add(m.start(1))
@@ -281,16 +399,18 @@ def candidates(text: str) -> list[Span]:
         for m in _FOOT.finditer(text):
             if free(m.start()):
                 add(m.start(), m.end(), "foot", f"[{m[1]}]")
-    for at in chain((0,), (m.end() for m in _LINE.finditer(text))):
+    lead = text[: len(text) - len(text.lstrip(" \t")) + 1][-1:]
+    for at, first in chain(((0, lead),), ((m.end(), m[1]) for m in _LINE.finditer(text))):
         if not free(at):
             continue
-        first = text[at : at + 64].lstrip(" \t")[:1]
         if first == "#":
             if m := _ATX.match(text, at):
                 add(at, m.end(), "atx", str(len(m[2])))
         elif first == "=":
-            if m := _WIKIHEAD.match(text, at):
-                add(at, m.end(), "wikihead", m[2])
+            end = text.find("\n", at)
+            line = text[at : len(text) if end < 0 else end].rstrip(" \t\r")
+            if (m := _WIKIHEAD.fullmatch(line)) and m[1] == m[3] and m[2].strip(" \t"):
+                add(at, at + len(line), "wikihead", m[2].strip(" \t"))
         elif first == ">":
             if m := _QUOTE.match(text, at):
                 add(at, m.end(), "quote", "", "quote")
@@ -318,16 +438,17 @@ def candidates(text: str) -> list[Span]:
     if "''" in text:
         pair(_APOS, "apostrophes")
     if "\\" in text:
-        paths = [m.span() for m in _NO_COMMAND.finditer(text)]
+        paths = Cover([m.span() for m in _NO_COMMAND.finditer(text)])
         for m in _COMMAND.finditer(text):
             begin = m.start()
-            if free(begin) and (m[3] or m[1] in _BARE_COMMANDS) and not any(a <= begin < b for a, b in paths):
+            if free(begin) and (m[3] or m[1] in _BARE_COMMANDS) and paths.free(begin):
                 tie = f"env{m[3]}" if m[1] in ("begin", "end") else "list" if m[1] == "item" else ""
                 add(begin - (text[begin - 1 : begin] == "~"), m.end(), "command", f"{m[1]}\0{m[3]}", tie)
-        tabular = [m.span() for m in re.finditer(r"\\begin\{(?:tabular|array)\}.*?\\end\{(?:tabular|array)\}", text, re.S)]
+        tabular = [(a, b) for a, _, _, b, _ in _environments(_TABULAR, text)]
+        inside = Cover(tabular)
         for m in _ESCAPE.finditer(text):
-            if free(m.start()) and not any(a <= m.start() < b for a, b in paths):
-                add(m.start(), m.end(), "escape", "\n" if m[0] == "\\\\" and not any(a <= m.start() < b for a, b in tabular) else "" if m[0] == "\\\\" else m[0][1])
+            if free(m.start()) and paths.free(m.start()):
+                add(m.start(), m.end(), "escape", "\n" if m[0] == "\\\\" and inside.free(m.start()) else "" if m[0] == "\\\\" else m[0][1])
         for a, b in tabular:
             for m in re.finditer(r"[ \t]*&[ \t]*", text[a:b]):
                 add(a + m.start(), a + m.end(), "escape", "\t", "table")
@@ -339,7 +460,7 @@ def candidates(text: str) -> list[Span]:
     return kept
 
 
-def edges(spans: list[Span]) -> list[tuple[int, int, float]]:
+def edges(spans: list[Span]) -> list[Edge]:
     """Smoothness between spans: adjacency, pairs, rows, and the tree of tags."""
     out = []
     for i in range(1, len(spans)):
@@ -347,125 +468,223 @@ def edges(spans: list[Span]) -> list[tuple[int, int, float]]:
         if gap < 4 * REACH:
             out.append((i - 1, i, NEAR * math.exp(-gap / REACH)))
     last: dict[str, int] = {}
-    stack: list[tuple[str, int]] = []
     for i, s in enumerate(spans):
         if s.tie:
             if s.tie in last:
                 out.append((last[s.tie], i, ROW if s.tie in ("table", "list", "quote") else PAIR))
             last[s.tie] = i
-        if s.kind in ("tag", "bare"):
-            m = _TAG.match(s.value)
-            name = m[2].lower()
-            if m[1]:
-                for j in range(len(stack) - 1, -1, -1):
-                    if stack[j][0] == name:
-                        out.append((stack[j][1], i, PAIR))
-                        del stack[j:]
-                        break
-            else:
-                if stack:
-                    out.append((stack[-1][1], i, PARENT))
-                if name not in VOID and not m[4] and len(stack) < 256:
-                    stack.append((name, i))
+    for i, parent, opening in _tree(spans):
+        if opening is not None:
+            out.append((opening, i, PAIR))
+        elif parent is not None:
+            out.append((parent, i, PARENT))
     return out
 
 
-def _max_flow(weights: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Minimum cut of a component by Dinic's maximum flow; True: on the source's side (residue)."""
-    n = len(weights)
-    source, sink = n, n + 1
-    to: list[int] = []
-    cap: list[float] = []
-    out: list[list[int]] = [[] for _ in range(n + 2)]
-
-    def link(a: int, b: int, there: float, back: float) -> None:
-        out[a].append(len(to))
-        to.append(b)
-        cap.append(there)
-        out[b].append(len(to))
-        to.append(a)
-        cap.append(back)
-
-    for i, w in enumerate(weights):
-        link(source, i, w, 0.0) if w > 0 else link(i, sink, -w, 0.0)
-    for a, b, w in links:
-        link(a, b, w, w)
-    tiny = 1e-9
-    while True:
-        level = [-1] * (n + 2)
-        level[source] = 0
-        queue = deque([source])
-        while queue:
-            a = queue.popleft()
-            for e in out[a]:
-                if cap[e] > tiny and level[to[e]] < 0:
-                    level[to[e]] = level[a] + 1
-                    queue.append(to[e])
-        if level[sink] < 0:
-            return [x >= 0 for x in level[:n]]
-        at = [0] * (n + 2)
-        path: list[int] = []
-        a = source
-        while True:
-            if a == sink:
-                flow = min(cap[e] for e in path)
-                for e in path:
-                    cap[e] -= flow
-                    cap[e ^ 1] += flow
-                k = next(i for i, e in enumerate(path) if cap[e] <= tiny)
-                a = to[path[k] ^ 1]
-                del path[k:]
+def _tree(spans: list[Span]) -> Iterator[tuple[int, int | None, int | None]]:
+    """For each tag: its number, the open element it lies in, and, if it closes one, that one's opening tag."""
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    for i, s in enumerate(spans):
+        if s.kind not in ("tag", "bare", "open"):
+            continue
+        m = _TAG.match(s.value)
+        name = m[2].lower()
+        if m[1]:
+            if not places.get(name):
+                yield i, None, None
                 continue
-            while at[a] < len(out[a]):
-                e = out[a][at[a]]
-                if cap[e] > tiny and level[to[e]] == level[a] + 1:
-                    break
-                at[a] += 1
-            if at[a] < len(out[a]):
-                path.append(out[a][at[a]])
-                a = to[path[-1]]
-            elif path:
-                a = to[path.pop() ^ 1]
-                at[a] += 1
-            else:
-                break
-
-
-def label(spans: list[Span]) -> list[bool]:
-    """True for residue: the minimum cut over all spans."""
-    n = len(spans)
-    if all(s.weight > 0 for s in spans):
-        return [True] * n
-    links = edges(spans)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b, _ in links:
-        root[find(a)] = find(b)
-    members: dict[int, list[int]] = {}
-    for i in range(n):
-        members.setdefault(find(i), []).append(i)
-    out = [s.weight > 0 for s in spans]
-    inner: dict[int, list[tuple[int, int, float]]] = {}
-    for e in links:
-        inner.setdefault(find(e[0]), []).append(e)
-    for r, own in members.items():
-        if len({out[i] for i in own}) == 2:
-            number = {i: k for k, i in enumerate(own)}
-            cut = _max_flow([spans[i].weight for i in own], [(number[a], number[b], w) for a, b, w in inner.get(r, [])])
-            for i, residue in zip(own, cut):
-                out[i] = residue
+            at = places[name][-1]
+            yield i, None, stack[at][1]
+            for gone, _ in stack[at:]:
+                places[gone].pop()
+            del stack[at:]
+        else:
+            yield i, stack[-1][1] if stack else None, None
+            if name not in VOID and not m[4]:
+                places.setdefault(name, []).append(len(stack))
+                stack.append((name, i))
+
+
+HTML = {"tag", "bare", "open", "element", "comment", "entity", "escaped"}
+WIKI = {"wikilink", "template", "wikihead", "apostrophes", "wikitable", "external"}
+LATEX = {"command", "math", "escape"}
+FEATURES = [*KINDS, "one", "in_word", "line_start", "company", "code", "attributes", "letter", "amount"]
+_CODE = set("=(){};")
+_NAMED = {"under", "emu", "dunder", "bare"}  #: kinds that identifiers and type parameters look like
+
+
+def _family(kind: str) -> str:
+    return "html" if kind in HTML else "wiki" if kind in WIKI else "latex" if kind in LATEX else "markdown"
+
+
+def span_features(text: str, spans: list[Span]) -> np.ndarray:
+    """One row per span: its kind, and what surrounds it."""
+    x = np.zeros((len(spans), len(FEATURES)))
+    sure = Counter(_family(s.kind) for s in spans if s.kind not in ("bare", "num", "dunder"))
+    for row, s in zip(x, spans):
+        row[_PLACE[s.kind]] = 1.0
+        before, after = text[s.start - 1 : s.start], text[s.end : s.end + 1]
+        own = sure[_family(s.kind)] - (s.kind not in ("bare", "num", "dunder"))
+        row[_FIRST:] = (
+            1.0,
+            s.kind in _NAMED and bool(before) and (before.isalnum() or before == "_"),
+            s.kind in _NAMED and before in ("", "\n"),
+            min(own, 4) / 4,
+            s.kind in _NAMED and ((before != "" and before in _CODE) or (after != "" and after in _CODE)),
+            s.kind in HTML and "=" in s.value,
+            s.kind == "bare" and len(s.value) == 3,
+            s.kind == "num" and len(text[s.start : s.end].strip(" \t.)")) > 2,
+        )
+    return x
+
+
+_PLACE = {k: i for i, k in enumerate(KINDS)}
+_FIRST = len(KINDS)
+
+
+class Block(NamedTuple):
+    start: int
+    end: int
+    parent: int  # number of the opening tag of the element it lies in; -1: none
+    furnished: bool  # within an element for page furniture
+
+
+_BLANK = re.compile(r"\n[ \t]*\r?(?=\n)")
+_WORD = re.compile(r"\w+")
+# Words of page furniture in English, and marks that part its entries.
+FURNITURE = set("home menu about contact login log sign register subscribe newsletter cookie cookies privacy terms policy imprint copyright rights reserved share tweet print follow rss previous next back top skip main search sitemap advertisement accept settings posted comment comments support products free email social related read".split())
+BLOCK_FEATURES = ["one", "words", "stop", "marks", "furniture", "all_furniture", "sign", "element", "commas", "tabs"]
+
+
+def blocks(text: str, spans: list[Span]) -> list[Block]:
+    """What lies between blank lines and block elements, scripts and comments, in order."""
+    cuts = [(m.start(), m.end()) for m in _BLANK.finditer(text)]
+    inner: dict[int, int] = {}
+    parents: dict[int, int] = {}
+    for i, parent, opening in _tree(spans):
+        up = parents.get(opening, -1) if opening is not None else i
+        parents[i] = parent if parent is not None else -1
+        inner[i] = up
+    tags = [(s.start, s.end, i) for i, s in enumerate(spans) if s.kind in ("element", "comment") or (s.kind in ("tag", "bare", "open") and _TAG.match(s.value)[2].lower() in BLOCK)]
+    outer = _furnished(spans)
+    out: list[Block] = []
+    at, parent = 0, -1
+    for a, b, i in sorted([*((a, b, -1) for a, b in cuts), *tags, (len(text), len(text), -1)]):
+        if a > at and text[at:a].strip():
+            out.append(Block(at, a, parent, parent in outer))
+        at = max(at, b)
+        if i >= 0:
+            parent = inner.get(i, parent)
     return out
 
 
-def residue(text: str) -> list[Span]:
+def _furnished(spans: list[Span]) -> set[int]:
+    """Opening tags of navigation, headers, footers, asides, forms and buttons, and of elements within them."""
+    out: set[int] = set()
+    for i, parent, opening in _tree(spans):
+        if opening is None and (parent in out or re.match(r"<(?:nav|footer|header|aside|form|button|menu)\b", spans[i].value, re.I)):
+            out.add(i)
+    return out
+
+
+def block_features(text: str, found: list[Block]) -> np.ndarray:
+    x = np.zeros((len(found), len(BLOCK_FEATURES)))
+    for row, b in zip(x, found):
+        body = text[b.start : b.end]
+        words = [w.lower() for w in _WORD.findall(body)]
+        n = max(1, len(words))
+        known = sum(w in FURNITURE for w in words)
+        end = body.rstrip()[-1:]
+        row[:] = (
+            1.0,
+            min(math.log1p(len(words)), 5.0) / 5.0,
+            end in ".?!:" and len(words) > 5,
+            min(sum(map(body.count, ("|", "·", "»", "/"))), 6) / 6 if known else 0.0,
+            known / n,
+            known >= 2 and known / n >= 0.4,
+            "©" in body or "all rights reserved" in body.lower(),
+            b.furnished,
+            min(body.count(","), 4) / 4,
+            "\t" in body or "\n" in body.strip(),
+        )
+    return x
+
+
+class Model(NamedTuple):
+    """Weights of the two classifiers."""
+
+    span: np.ndarray
+    block: np.ndarray
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Ridge logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def labelled_nodes(labelled: list[tuple[str, list[tuple[int, int]], list[tuple[int, int]]]]) -> Iterator[tuple[str, list[Span], list[bool], list[Block], list[bool]]]:
+    """Texts with their nodes and the true labels of those: a node is residue if most of it lies in a place that is."""
+    for text, marked, furnished in labelled:
+        spans = candidates(text)
+        found = blocks(text, spans)
+
+        def inside(a: int, b: int, places: list[tuple[int, int]]) -> bool:
+            return 2 * sum(max(0, min(b, z) - max(a, u)) for u, z in places) > b - a or (a == b and any(u <= a <= z for u, z in places))
+
+        yield text, spans, [inside(s.start, s.end, marked) for s in spans], found, [inside(b.start, b.end, furnished) for b in found]
+
+
+@lru_cache(maxsize=4)
+def fit(n: int = LABELLED, seed: int = 1) -> Model:
+    """The classifiers, fitted on ``n`` labelled texts."""
+    x, y, u, v = [], [], [], []
+    for text, spans, marked, found, furnished in labelled_nodes(texts(n, seed)):
+        x.append(span_features(text, spans))
+        y += marked
+        u.append(block_features(text, found))
+        v += furnished
+    return Model(_logistic(np.concatenate(x), np.array(y, float)), _logistic(np.concatenate(u), np.array(v, float)))
+
+
+def block_edges(found: list[Block]) -> list[Edge]:
+    """Smoothness between blocks: neighbours, and the last before with the same parent element."""
+    out = [(i - 1, i, NEXT) for i in range(1, len(found))]
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if b.parent >= 0:
+            if last.get(b.parent, i - 1) != i - 1:
+                out.append((last[b.parent], i, SIBLING))
+            last[b.parent] = i
+    return out
+
+
+def label(text: str, spans: list[Span], model: Model) -> list[bool]:
+    """True for markup: the minimum cut over all spans."""
+    return cut((span_features(text, spans) @ model.span).tolist(), edges(spans)) if spans else []
+
+
+def label_blocks(text: str, found: list[Block], model: Model) -> list[bool]:
+    """True for page furniture: the minimum cut over all blocks."""
+    return cut((block_features(text, found) @ model.block).tolist(), block_edges(found)) if found else []
+
+
+def residue(text: str, model: Model | None = None) -> list[Span]:
     spans = candidates(text)
-    return [s for s, r in zip(spans, label(spans)) if r] if spans else []
+    return [s for s, r in zip(spans, label(text, spans, model or fit())) if r] if spans else []
+
+
+def furniture(text: str, spans: list[Span], model: Model | None = None) -> list[tuple[int, int]]:
+    """Places of page furniture."""
+    found = blocks(text, spans)
+    return [(b.start, b.end) for b, r in zip(found, label_blocks(text, found, model or fit())) if r]
 
 
 HEADS = {"part", "chapter", "section", "subsection", "subsubsection", "paragraph", "title"}
@@ -473,12 +692,16 @@ DROPPED = set("documentclass usepackage cite citep citet ref eqref label pageref
 _ARG = re.compile(r"\{([^{}\n]*)\}")
 
 
-def clean(text: str, spans: list[Span] | None = None) -> list[tuple[str, str]]:
+def clean(text: str, spans: list[Span] | None = None, gone: list[tuple[int, int]] | None = None) -> list[tuple[str, str]]:
     """Blocks (kind, text) of the text without its residue: heading, list, code, table, formula or text."""
     spans = residue(text) if spans is None else spans
-    if not spans:
+    gone = furniture(text, spans) if gone is None else gone
+    if not spans and not gone:
         return [("text", text)] if text.strip() else []
-    mark = iter([c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text][:5])
+    # Spans inside furniture go with it.
+    within = Cover(gone)
+    spans = sorted([*(s for s in spans if within.free(s.start)), *(Span(a, b, "gone", "", "") for a, b in gone)], key=lambda s: (s.start, s.end))
+    mark = (c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text)
     head, code, shut, form, row = (next(mark) for _ in range(5))
     wiki = sum(s.kind in ("wikilink", "template", "wikihead", "wikitable", "apostrophes") for s in spans)
     other = sum(s.kind in ("fence", "link", "mdtable", "bold", "under", "strike") or (s.kind == "atx" and s.value != "1") for s in spans)
@@ -492,7 +715,7 @@ def clean(text: str, spans: list[Span] | None = None) -> list[tuple[str, str]]:
         out.append(text[at : s.start])
         at = s.end
         kind, v = s.kind, s.value
-        if kind in ("tag", "bare"):
+        if kind in ("tag", "bare", "open"):
             m = _TAG.match(v)
             name, closing = m[2].lower(), bool(m[1])
             if name[0] == "h" and name[1:].isdigit() or name == "title":
@@ -589,9 +812,9 @@ def _blocks(text: str, head: str, code: str, shut: str, form: str, row: str, wik
             if body.strip():
                 blocks.append(("code" if part[0] == code else "formula", body))
             continue
-        for piece in re.split(r"(?:[ \t]*\r?\n){2,}", part.replace(shut, "")):
-            lines = [re.sub(r"[ \t]+$", "", x.rstrip("\r")) for x in piece.split("\n")]
-            lines = [x for x in lines if x.strip()]
+        every = [x.rstrip("\r").rstrip(" \t") for x in part.replace(shut, "").split("\n")]
+        for full, own in groupby(every, key=lambda x: bool(x.strip())):
+            lines = list(own) if full else []
             i = 0
             while i < len(lines):
                 line = lines[i].lstrip(" ")
@@ -620,10 +843,11 @@ def labelled(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and the number of residue spans of every text."""
     src = df.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([src.schema["__id"], T.StructField("__n", T.IntegerType())])
+    model = fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(residue(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [len(residue(t, model)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=schema.names)
 
     return src.mapInArrow(run, schema).select(F.col("__id").alias(doc_id), F.col("__n").alias("n_residue"))
@@ -635,14 +859,16 @@ def cleaned(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     block = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
     schema = T.StructType([src.schema["__id"], T.StructField("__clean", T.StringType()), T.StructField("__blocks", block), T.StructField("__n", T.IntegerType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+    model = fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done: list[tuple[str | None, list[dict], int]] = []
             for t in b.column(1).to_pylist():
-                spans = residue(t) if t else []
-                blocks = clean(t, spans) if t else []
-                done.append((t if not spans else plain(blocks), [{"kind": k, "text": x} for k, x in blocks], len(spans)))
+                spans = residue(t, model) if t else []
+                gone = furniture(t, spans, model) if t else []
+                made = clean(t, spans, gone) if t else []
+                done.append((plain(made) if spans or gone else t, [{"kind": k, "text": x} for k, x in made], len(spans)))
             text_, blocks_, n = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_, pa.string()), pa.array(blocks_, kind), pa.array(n, pa.int32())], names=schema.names)
 

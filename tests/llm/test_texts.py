@@ -1,13 +1,14 @@
 import base64
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe, markup, mixing, queries, repetition, splitting
+from tarnwick.llm import bpe, markup, markup_labels, mincut, mixing, queries, repetition, splitting
 
 SF = "/root/testdata/sf0.001"
 
@@ -240,13 +241,65 @@ def test_look_alikes_are_content(text):
 
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(6)
-    for _ in range(60):
+    for _ in range(150):
         n = rng.randrange(2, 9)
         w = [rng.uniform(-3, 3) for _ in range(n)]
-        links = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+        links = [(a, b, rng.uniform(0, rng.choice([0.2, 2]))) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
         cost = lambda x: sum(-w[i] if w[i] < 0 and x[i] else w[i] if w[i] > 0 and not x[i] else 0 for i in range(n)) + sum(c for a, b, c in links if x[a] != x[b])  # noqa: B023, E731
         best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
-        assert cost(markup._max_flow(w, links)) == pytest.approx(best)
+        assert cost(mincut.max_flow(w, links)) == pytest.approx(best)
+        assert cost(mincut.cut(w, links)) == pytest.approx(best)
+
+
+def accuracy(edges):
+    model, right, n = markup.fit(), {"spans": 0, "blocks": 0, "texts": 0}, {"spans": 0, "blocks": 0, "texts": 0}
+    for text, spans, marked, found, furnished in markup.labelled_nodes(markup_labels.texts(400, seed=77, held_out=True)):
+        if edges:
+            got, pages = markup.label(text, spans, model), markup.label_blocks(text, found, model)
+        else:
+            got = (markup.span_features(text, spans) @ model.span > 0).tolist() if spans else []
+            pages = (markup.block_features(text, found) @ model.block > 0).tolist() if found else []
+        for name, a, b in (("spans", got, marked), ("blocks", pages, furnished), ("texts", [any(got)], [any(marked)])):
+            right[name] += sum(x == y for x, y in zip(a, b))
+            n[name] += len(b)
+    return {k: right[k] / n[k] for k in n}
+
+
+def test_edges_help_on_held_out_texts():
+    whole, bare = accuracy(True), accuracy(False)
+    assert whole["spans"] > bare["spans"] and whole["spans"] > 0.98 and whole["blocks"] > 0.97 and whole["texts"] > 0.99
+
+
+def test_page_furniture_goes_and_content_stays():
+    text = "<nav><ul><li>Home</li><li>About us</li></ul></nav>\n<p>The river turned to copper in late summer. It stayed so.</p>\n<footer>\u00a9 2020 Basin Press. All rights reserved.</footer>"
+    assert markup.clean(text) == [("text", "The river turned to copper in late summer. It stayed so.")]
+    text = "Home | Search | Contact | Log in\n\nThe river turned to copper in late summer, and stayed so.\n\nSubscribe to our newsletter"
+    assert markup.clean(text) == [("text", "The river turned to copper in late summer, and stayed so.")]
+
+
+@pytest.mark.parametrize("body", ["<script> ", "<style>", "<!-- ", "<p><b><i>", "</b>", "<a x ", "\\begin{verbatim} ", "\\begin{tabular} a & b ", "$$ ", "\\[ ", "\\( ", "$_", "`` ` ``` ", "{{a}", "''a'b ", "== ", "&lt;p x ", "[a][", "* a *", "| a ", " \t", "_a", "**a"])
+def test_scans_are_linear(body):
+    def seconds(n):
+        began = time.process_time()
+        markup.clean("x " + body * n)
+        return time.process_time() - began
+
+    seconds(50)
+    few, many = min(seconds(2000) for _ in range(2)), seconds(32_000)
+    assert many < 0.3 or many < 90 * few  # sixteen times the text, and collecting of garbage; its square is 256
+
+
+def test_an_escaped_tag_of_any_length():
+    for n in (190, 260, 5000):
+        text = "see &lt;p class=" + "x" * n + "&gt; here"
+        assert [s.kind for s in markup.residue(text)] == ["escaped"]
+
+
+def test_nested_deeper_than_ever():
+    text = "<div>" * 3000 + "deep" + "</div>" * 3000
+    spans = markup.candidates(text)
+    assert sum(w == markup.PAIR for _, _, w in markup.edges(spans)) == 3000 and markup.clean(text) == [("text", "deep")]
+    assert "num" in {s.kind for s in markup.candidates("1234. one\n1235. two")}
 
 
 def test_a_weak_span_follows_its_neighbours():
