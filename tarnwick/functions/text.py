@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as Python's str methods see it.
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# What ends a sentence, what must follow, both as one pattern, and the form of a citation.
+SENTENCE_STOP = ".!?"
+SENTENCE_GAP = " \t\n"
 SENTENCE_BREAK = r"(?<=[.!?])[ \t]*\n+|(?<=[.!?])[ \t]+"
 CITATION = r"\[(\d{1,3})\]"
 
@@ -36,7 +39,8 @@ def words(text: Column) -> Column:
 
 
 def approximate_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\w+|[^\w\s]"))
+    """Runs of letters, digits and underscores, and other characters that are no white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]"))
 
 
 def strip_citations(text: Column) -> Column:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions.embedding import Embedder, embed
-from tarnwick.functions.text import citation_markers, sentences, squash, strip_citations
+from tarnwick.functions.text import citation_markers, sentences, squash, strip, strip_citations
 from tarnwick.functions.vectors import cosine
 from tarnwick.operators.ranking import DIGITS
 
-#: The sentences with which the engine declines.
-INSUFFICIENT = "The provided sources do not contain enough information to answer this question."
+# The words with which the engine declines, by which a declined answer is also known, and those of a refusal.
+INSUFFICIENT = "I don't have enough information in the provided sources"
+DECLINED = INSUFFICIENT + "."
+REFUSED = INSUFFICIENT + " to answer that"
+NO_SOURCES = "(no sources retrieved)"
+PROMPT_VERSION = "t1"
+#: What a model is told; own words.
+RULES = f"""Answer from the numbered sources below and from nothing else.
+- Give the number of its source behind every claim, as [1]; name each number if there are several.
+- If the sources do not answer the question, write exactly: "{DECLINED}"
+- Keep to three sentences unless the question needs more, and don't speak of sources or rules otherwise."""
 
 
 def refusal(results: DataFrame, questions: DataFrame, min_confidence: float = 0.3, min_sources: int = 1) -> DataFrame:
@@ -43,7 +56,7 @@ def refusal(results: DataFrame, questions: DataFrame, min_confidence: float = 0.
 
 
 def refusal_text(reason: Column) -> Column:
-    return F.concat(F.lit(INSUFFICIENT), F.when(reason.isNotNull(), F.concat(F.lit(" ("), reason, F.lit(")"))).otherwise(F.lit("")))
+    return F.concat(F.lit(REFUSED), F.when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit(" ("), reason, F.lit(")"))).otherwise(F.lit("")), F.lit("."))
 
 
 def number_sources(final: DataFrame) -> DataFrame:
@@ -51,11 +64,50 @@ def number_sources(final: DataFrame) -> DataFrame:
     return final.withColumn("source_no", F.col("final_rank"))
 
 
-def prompt(sources: DataFrame) -> DataFrame:
-    """qid, sources: numbered ``[i] (label) text`` lines; ``sources`` has source_no, label, text."""
-    line = F.concat(F.lit("["), F.col("source_no").cast("string"), F.lit("] ("), F.col("label"), F.lit(") "), F.col("text"))
+def source_label(section_path: Column, title: Column, doc_id: Column) -> Column:
+    """Where a source is from: its section path, else its title, else its document."""
+    path = F.when(F.size(section_path) > 0, F.array_join(section_path, " > "))
+    return F.coalesce(F.nullif(path, F.lit("")), F.nullif(title, F.lit("")), doc_id.cast("string"))
+
+
+def prompt(sources: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """qid, sources: numbered ``[i] (label) text`` blocks; ``sources`` has source_no, label, text.
+
+    With ``questions`` (qid, question) also the whole prompt of each: rules, sources (or that there are none) and question.
+    """
+    line = F.concat(F.lit("["), F.col("source_no").cast("string"), F.lit("] ("), F.col("label"), F.lit(") "), strip(F.col("text")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("source_no", line.alias("line")))), lambda x: x["line"])
-    return sources.groupBy("qid").agg(F.array_join(lines, "\n\n").alias("sources"))
+    shown = sources.groupBy("qid").agg(F.array_join(lines, "\n\n").alias("sources"))
+    if questions is None:
+        return shown
+    both = questions.select("qid", "question").join(shown, "qid", "left").withColumn("sources", F.coalesce("sources", F.lit(NO_SOURCES)))
+    whole = F.concat(F.lit(f"{RULES}\n\nSources:\n"), F.col("sources"), F.lit("\n\nQuestion: "), strip(F.coalesce("question", F.lit(""))), F.lit("\n\nAnswer:"))
+    return both.select("qid", "sources", whole.alias("prompt"))
+
+
+class Generator(Protocol):
+    """A language model; ``complete`` runs in the Python workers and gives None where the model is unavailable."""
+
+    name: str
+
+    def complete(self, prompts: list[str]) -> list[str | None]: ...
+
+
+def generated(prompts: DataFrame, model: Generator, batch: int = 16) -> DataFrame:
+    """qid, answer of a model for each prompt; null where it failed."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            texts, out = s.tolist(), []
+            for i in range(0, len(texts), batch):
+                try:
+                    out += model.complete(texts[i : i + batch])
+                except Exception:  # noqa: BLE001  an unavailable model leaves its answers to extraction
+                    out += [None] * len(texts[i : i + batch])
+            yield pd.Series(out, dtype=object)
+
+    return prompts.select("qid", run("prompt").alias("answer"))
 
 
 def source_sentences(sources: DataFrame, min_chars: int = 25) -> DataFrame:
@@ -74,13 +126,13 @@ def extractive(sources: DataFrame, questions: DataFrame, take: int = 3, min_char
     cited = F.concat("sentence", F.lit(" ["), F.col("source_no").cast("string"), F.lit("]"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_no", "position", "sentence", cited.alias("cited")))), lambda x: x["cited"]), " ")
     made = best.groupBy("qid").agg(text.alias("answer"))
-    return questions.select("qid").distinct().join(made, "qid", "left").select("qid", F.coalesce("answer", F.lit(INSUFFICIENT)).alias("answer"))
+    return questions.select("qid").distinct().join(made, "qid", "left").select("qid", F.coalesce("answer", F.lit(DECLINED)).alias("answer"))
 
 
 def generate_or_extract(generated: DataFrame, extracted: DataFrame) -> DataFrame:
     """A model's answer, or the extractive one where it is missing or blank."""
     both = extracted.join(generated.select("qid", F.col("answer").alias("__g")), "qid", "left")
-    blank = F.trim(F.coalesce("__g", F.lit(""))) == ""
+    blank = strip(F.coalesce("__g", F.lit(""))) == ""
     return both.select("qid", F.when(blank, F.col("answer")).otherwise(F.col("__g")).alias("answer"), F.when(blank, F.lit("extractive")).otherwise(F.lit("generated")).alias("answer_type"))
 
 
@@ -113,7 +165,7 @@ def grounding(answers: DataFrame, sources: DataFrame, threshold: float = 0.55, e
     An answer that says it lacks information is grounded, with no sentences; one
     without sentences is not.  Otherwise nothing may be flagged or unresolved.
     """
-    declined = answers.select("qid", F.lower("answer").contains(INSUFFICIENT.lower().rstrip(".")).alias("declined"))
+    declined = answers.select("qid", F.lower("answer").contains(INSUFFICIENT.lower()).alias("declined"))
     real = answers.join(declined.where("NOT declined"), "qid", "left_semi")
     per = sentence_grounding(real, sources, threshold, embedder).groupBy("qid").agg(F.count("*").alias("n"), F.count_if(~F.col("grounded")).alias("flagged"), F.avg("max_similarity").alias("mean"))
     loose = citations(real, sources).where("NOT resolved").groupBy("qid").agg(F.count("*").alias("loose"))

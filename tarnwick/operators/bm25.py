@@ -1,4 +1,10 @@
-"""BM25 (Okapi): index tables and exact top-k for a set of queries.
+"""BM25 (Okapi): an index that stays, and exact top-k for a set of queries.
+
+The index is sharded by documents: a row per chunk with its terms and their counts, made from
+the text once, and a table of the terms with their weights.  It is stored under a key of the
+chunk ids and found again by it.  A search reads no text: each partition of the index meets
+the terms that a block of queries asks for, adds up what matching terms give, and keeps its k
+best, so no term is hot and no pair of query and chunk leaves its partition but those k.
 
 idf(t) = ln(N - df + 0.5) - ln(df + 0.5); where that is negative, epsilon times the
 mean idf over all terms takes its place.  A chunk without terms has one sentinel
@@ -9,75 +15,145 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions.text import terms
-from tarnwick.operators.ranking import ROWS, blocked_top_k, query_blocks
+from tarnwick.operators.ranking import blocked_top_k, query_blocks
+from tarnwick.runtime import hadoop_path, shared_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SENTINEL = ""
+#: Pairs of query and term in a block; a block of more is split.
+ENTRIES = 500_000
+DOCS = "chunk_id string, terms array<string>, counts array<int>, dl int"
+
+
+class Index(NamedTuple):
+    docs: DataFrame  #: chunk_id, terms (each once), counts, dl
+    weights: DataFrame  #: term, df, idf
+    mean: float  #: mean length
 
 
 def tokenised(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, terms, dl."""
+    """chunk_id, terms, counts, dl."""
     t = terms(F.col(text))
-    return chunks.select(F.col(id_).cast("string").alias("chunk_id"), F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(SENTINEL))).alias("terms")).withColumn("dl", F.size("terms"))
+    src = chunks.select(F.col(id_).cast("string").alias("chunk_id"), F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(SENTINEL))).alias("terms"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Counter(t) for t in b.column("terms").to_pylist()]
+            arrays = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([c.total() for c in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), *arrays], names=["chunk_id", "terms", "counts", "dl"])
 
+    return src.mapInArrow(count, DOCS)
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """term, chunk_id, tf."""
-    return tokens.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
+def postings(docs: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, dl."""
+    return docs.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("p.terms", "chunk_id", "p.counts", "dl").toDF("term", "chunk_id", "tf", "dl")
 
-def idf(tokens: DataFrame) -> DataFrame:
+
+def idf(docs: DataFrame) -> DataFrame:
     """term, df, idf with the floor applied."""
-    size = tokens.agg(F.count("*").alias("n"))
-    df = tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    size = docs.agg(F.count("*").alias("n"))
+    df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     floor = F.col("mean") * EPSILON
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, *, qid: str = "qid", question: str = "question", id_: str = "chunk_id", text: str = "text") -> DataFrame:
+def key(chunks: DataFrame, id_: str = "chunk_id") -> str:
+    """A key of the set of chunk ids; reads nothing else."""
+    h = lambda seed: F.xxhash64(F.lit(seed), F.col(id_).cast("string"))
+    n, a, b = chunks.select(id_).distinct().agg(F.count("*"), F.bit_xor(h(1)), F.bit_xor(h(2))).first()
+    return f"{n}-{(a or 0) & (1 << 64) - 1:016x}{(b or 0) & (1 << 64) - 1:016x}"
+
+
+def load(spark: SparkSession, path: str, name: str) -> Index | None:
+    """The index stored under a key; none if there is none, or it can't be read."""
+    where = f"{path}/{name}"
+    try:
+        mean = spark.read.schema("mean double").parquet(f"{where}/mean").first()
+        docs, weights = (spark.read.parquet(f"{where}/{t}") for t in ("docs", "weights"))
+        return None if mean is None or docs.columns != ["chunk_id", "terms", "counts", "dl"] or weights.columns != ["term", "df", "idf"] else Index(docs, weights, mean[0])
+    except AnalysisException:
+        return None
+
+
+def ensure(chunks: DataFrame, path: str | None = None, id_: str = "chunk_id", text: str = "text") -> Index:
+    """The index of these chunks: the stored one, if their ids are the same, else a new one, which is stored.
+
+    The row that makes it complete is written last, so one that was left half written counts as none.
+    The key is of the ids, as they are of content; where texts change under an id, store under another path.
+    """
+    spark = chunks.sparkSession
+    path = (path or f"{shared_dir(spark)}/tarnwick-bm25").rstrip("/")
+    name = key(chunks, id_)
+    found = load(spark, path, name)
+    if found is not None:
+        return found
+    where, files = hadoop_path(spark, f"{path}/{name}")
+    files.delete(where, True)
+    tokenised(chunks, id_, text).write.option("compression", "zstd").parquet(f"{path}/{name}/docs")
+    docs = spark.read.schema(DOCS).parquet(f"{path}/{name}/docs")
+    idf(docs).write.parquet(f"{path}/{name}/weights")
+    docs.agg(F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).write.parquet(f"{path}/{name}/mean")
+    return load(spark, path, name)
+
+
+def top_k(index: Index, queries: DataFrame, k: int, *, qid: str = "qid", question: str = "question") -> DataFrame:
     """qid, chunk_id, score, rank of the k best chunks with a positive score."""
-    tokens = tokenised(chunks, id_, text)
-    mean = tokens.agg(F.avg("dl")).first()[0] or 1.0
     asked = queries.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("terms"))
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    weights = idf(tokens).join(wanted, "term").select("term", "idf").cache()
-    blocks = []
+    return blocked_top_k(index.docs, _blocks(index, asked), _score, k, floor=0.0)
+
+
+def _blocks(index: Index, asked: DataFrame) -> Iterator[tuple[list[str], tuple]]:
+    """Blocks of queries: for each of their terms, which queries ask for it and what it is worth to them."""
+    spark = asked.sparkSession
     for qids, lists in query_blocks(asked, "qid", "terms"):
-        used = sorted({t for terms_ in lists for t in terms_})
-        spark = chunks.sparkSession
-        own = weights.join(F.broadcast(spark.createDataFrame([(t,) for t in used], "term string")), "term").collect() if used else []  # one block's terms
-        column = {r["term"]: i for i, r in enumerate(sorted(own, key=lambda r: r["term"]))}
-        value = {r["term"]: r["idf"] for r in own}
-        matrix = np.zeros((len(column), len(qids)))
-        for q, terms_ in enumerate(lists):
-            for t, n in Counter(terms_).items():
-                if t in column:
-                    matrix[column[t], q] = n * value[t]
-        blocks.append((qids, (column, matrix, mean)))
-    return blocked_top_k(tokens, blocks, _score, k, floor=0.0)
-
-
-def _score(table: pa.Table, payload: tuple[dict[str, int], np.ndarray, float]) -> Iterator[np.ndarray]:
-    column, matrix, mean = payload
-    width = len(column)
-    for s in range(0, table.num_rows, ROWS):
-        part = table.slice(s, ROWS).combine_chunks()
-        lists = part.column("terms").combine_chunks()
-        n = part.num_rows
-        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten().dictionary_encode()
-        code = np.array([column.get(t, -1) for t in flat.dictionary.to_pylist()] or [-1], np.int64)[flat.indices.to_numpy()]
-        hit = code >= 0
-        tf = np.bincount(row[hit] * width + code[hit], minlength=n * width).reshape(n, width).astype(float) if width else np.zeros((n, 0))
-        dl = part.column("dl").to_numpy().astype(float)[:, None]
-        np.divide(tf * (K1 + 1), tf + K1 * (1 - B + B * dl / mean), out=tf)
-        yield tf @ matrix
+        counts = [Counter(x) for x in lists]
+        begin = 0
+        while begin < len(qids):
+            end, n = begin, 0
+            while end < len(qids) and (end == begin or n + len(counts[end]) <= ENTRIES):
+                n += len(counts[end])
+                end += 1
+            own = counts[begin:end]
+            used = sorted({t for c in own for t in c})
+            wanted = spark.createDataFrame([(t,) for t in used], "term string")
+            value = dict(index.weights.join(F.broadcast(wanted), "term").select("term", "idf").collect()) if used else {}  # at most ENTRIES terms
+            asks: dict[str, list[tuple[int, float]]] = {t: [] for t in value}
+            for q, c in enumerate(own):
+                for t, m in c.items():
+                    if t in value:
+                        asks[t].append((q, m * value[t]))
+            table = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in asks.items()}
+            yield qids[begin:end], (table, index.mean, end - begin)
+            begin = end
+
+
+def _score(table: pa.Table, payload: tuple[dict[str, tuple[np.ndarray, np.ndarray]], float, int]) -> np.ndarray:
+    asks, mean, n_queries = payload
+    out = np.zeros((table.num_rows, n_queries))
+    lists, counts = table.column("terms").combine_chunks(), table.column("counts").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().dictionary_encode()
+    names = flat.dictionary.to_pylist()
+    code = flat.indices.to_numpy()
+    known = np.array([t in asks for t in names] or [False])[code]
+    row, code, tf = row[known], code[known], counts.flatten().to_numpy()[known].astype(float)
+    dl = table.column("dl").to_numpy().astype(float)[row]
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    order = np.argsort(code, kind="stable")
+    row, code, value = row[order], code[order], value[order]
+    for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1) if len(code) else ():
+        query, weight = asks[names[code[part[0]]]]
+        out[np.ix_(row[part], query)] += np.multiply.outer(value[part], weight)
+    return out

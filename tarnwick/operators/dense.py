@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.operators.ranking import ROWS, blocked_top_k, query_blocks
+from tarnwick.operators.ranking import blocked_top_k, query_blocks
 
 
 class WidthError(ValueError):
@@ -30,13 +28,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, dim: int, *, id_: str =
     rows = corpus.select(F.col(id_).cast("string").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim)
     asked = queries.select(F.col(qid).alias("qid"), F.col(query_vector).cast("array<double>").alias("v"))
     asked = asked.where((F.size("v") == dim) & F.exists("v", lambda x: x != 0))
-    blocks = [(qids, _normed(np.array(vs, float)).T) for qids, vs in query_blocks(asked, "qid", "v")]
-    return blocked_top_k(rows, blocks, _score, k)
-
-
-def _score(table: pa.Table, queries: np.ndarray) -> Iterator[np.ndarray]:
-    for s in range(0, table.num_rows, ROWS):
-        yield _normed(_rows(table.slice(s, ROWS).column("v").combine_chunks())) @ queries
+    blocks = ((qids, _normed(np.array(vs, float)).T) for qids, vs in query_blocks(asked, "qid", "v"))
+    return blocked_top_k(rows, blocks, lambda table, queries: _normed(_rows(table.column("v").combine_chunks())) @ queries, k)
 
 
 def check_width(df: DataFrame, vector: str, dim: int) -> DataFrame:

@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.functions.text import overlaps, squash
+from tarnwick.functions.embedding import Embedder, embed
+from tarnwick.functions.text import overlaps, squash, strip
+from tarnwick.functions.vectors import cosine
 from tarnwick.operators.ranking import DIGITS
 from tarnwick.operators.search import occurring
 
 
+def one_row(df: DataFrame, key: str, *first: str) -> DataFrame:
+    """One whole row per key: the last by the columns ``first``, then by all others (nulls come first); columns must have an order."""
+    order = [*first, *[c for c in df.columns if c != key and c not in first]]
+    last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("r"))
+    return last.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in df.columns])
+
+
 def golden_once(golden: DataFrame) -> DataFrame:
-    """One entry per qid (the larger of repeated values)."""
-    return golden.groupBy("qid").agg(*[F.max(c).alias(c) for c in golden.columns if c != "qid"])
+    """One entry per qid."""
+    return one_row(golden, "qid")
 
 
 def relevance(results: DataFrame, golden: DataFrame) -> DataFrame:
@@ -108,14 +117,8 @@ def breakdowns(rows: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(values: Column, f: float) -> Column:
-    """Percentile of a sorted array at index round-half-even(f (n - 1)); 0.0 when empty."""
-    n = F.size(values)
-    return F.when(n > 0, F.element_at(values, F.bround(F.lit(f) * (n - 1)).cast("int") + 1)).otherwise(F.lit(0.0))
-
-
 def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """p50, p95, mean and maximum per key.
+    """p50, p95, mean and maximum per key, at the nearest rank: index round-half-even(f (n - 1)).
 
     Positions come from counts per value, so no key's rows are gathered: distinct values
     are counted, accumulated in order, and the value that covers the wanted index is kept.
@@ -133,6 +136,44 @@ def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
+#: Stages of a query whose time is taken.
+STAGES = ("dense", "lexical", "fusion", "rerank", "retrieval", "generation", "grounding", "total")
+
+
+def stage_latency(rows: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """Latency of each stage from its column ``<stage>_ms``; a stage without rows or column has zeros."""
+    known = [c for c in stages if f"{c}_ms" in rows.columns]
+    spark = rows.sparkSession
+    every = spark.createDataFrame([(c,) for c in stages], "stage string")
+    if not known:
+        found = spark.createDataFrame([], "stage string, p50 double, p95 double, mean double, max double, n long")
+    else:
+        pairs = ", ".join(f"'{c}', CAST({c}_ms AS DOUBLE)" for c in known)
+        found = latency(rows.selectExpr(f"stack({len(known)}, {pairs}) AS (stage, ms)"), "ms", "stage")
+    return every.join(F.broadcast(found), "stage", "left").na.fill(0)  # a row per stage
+
+
+def answer_similarity(answers: DataFrame, golden: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """qid, answer_similarity: cosine of the answer and the reference answer; only where both have words."""
+    words = lambda c: strip(F.coalesce(c, F.lit(""))) != ""
+    both = answers.select("qid", F.col("answer").alias("__said")).join(golden.select("qid", "answer"), "qid").where(words(F.col("__said")) & words(F.col("answer")))
+    return both.select("qid", F.round(cosine(embed(F.col("__said"), embedder), embed(F.col("answer"), embedder)), DIGITS).alias("answer_similarity"))
+
+
+def run_metrics(rows: DataFrame) -> DataFrame:
+    """One row: the means of a run.
+
+    ``rows``: per question category, METRICS, citation_precision, answer_similarity (null where
+    there is none), refused, grounded.  All but the refusal accuracy are over answerable questions.
+    """
+    negative = F.coalesce(F.col("category") == "negative", F.lit(False))
+    mean = lambda c, keep: F.round(F.coalesce(F.avg(F.when(keep, c.cast("double"))), F.lit(0.0)), DIGITS)
+    own = [mean(F.col(m), ~negative).alias(m) for m in (*METRICS, "citation_precision", "answer_similarity")]
+    return rows.agg(
+        F.count("*").alias("n"), *own, mean(F.col("refused"), negative).alias("refusal_accuracy"), mean(F.col("grounded"), ~negative).alias("grounded_rate"), mean(F.col("refused"), ~negative).alias("false_refusal_rate")
+    )
+
+
 def citation_precision(cited: DataFrame, flags: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, citation_precision: relevant share of the distinct cited chunks; 0.0 if none is cited."""
     used = cited.where("resolved").select("qid", "chunk_id").distinct().join(flags.select("qid", "chunk_id", "relevant"), ["qid", "chunk_id"])
@@ -147,7 +188,8 @@ def validate_golden(golden: DataFrame, documents: DataFrame, min_negatives: int
     Spans meet the named documents by equi-join; only spans not found there are searched in the
     whole corpus, which is read once, against the block of open spans.
     """
-    repeated = golden.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1").select("qid", F.lit("repeated qid").alias("problem"), F.lit("failure").alias("severity"))
+    again = golden.groupBy("qid").agg(F.count("*").alias("n")).select("qid", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).where("i > 1")  # one row per repeat
+    repeated = again.select("qid", F.lit("repeated qid").alias("problem"), F.lit("failure").alias("severity"))
     one = golden_once(golden)
     spans, docs = F.coalesce(F.size("relevant_chunk_texts"), F.lit(0)), F.coalesce(F.size("relevant_doc_ids"), F.lit(0))
     negative = F.coalesce(F.col("category") == "negative", F.lit(False))
@@ -183,9 +225,3 @@ def floors(measured: dict[str, float], margin: float = 0.05) -> dict[str, float]
 def gate(measured: dict[str, float], floor: dict[str, float]) -> dict[str, tuple[float, float]]:
     """Metrics below their floor, with both values."""
     return {k: (measured.get(k, 0.0), f) for k, f in floor.items() if measured.get(k, 0.0) < f}
-
-
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The latest row per key."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(at))
-    return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

@@ -28,51 +28,64 @@ def union_lists(**lists: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(candidates: DataFrame) -> DataFrame:
+    """Candidates with the number of their list; where none is stated, dense comes first, lexical second, and others by name."""
+    if "list_no" in candidates.columns:
+        return candidates
+    name = F.col("retriever")
+    return candidates.withColumn("list_no", F.when(name == "dense", 0).when(name == "lexical", 1).otherwise(2))
+
+
 def _stages() -> list[Column]:
-    """First non-null evidence of each stage, in list order."""
-    return [
-        c
-        for name in ("dense", "lexical")
-        for c in (
-            F.min_by(F.when(F.col("retriever") == name, F.col("score")), F.when(F.col("retriever") == name, F.col("rank"))).alias(f"{name}_score"),
-            F.min(F.when(F.col("retriever") == name, F.col("rank"))).alias(f"{name}_rank"),
-        )
-    ]
+    """Evidence of each stage: score and rank in the first of its lists (dense, dense_1, ...) that has the chunk."""
+    out = []
+    for name in ("dense", "lexical"):
+        own = F.when(F.col("retriever").startswith(name), F.struct("score", "rank"))
+        first = F.min_by(own, F.when(own.isNotNull(), F.struct("list_no", "retriever")))
+        out += [first["score"].alias(f"{name}_score"), first["rank"].alias(f"{name}_rank")]
+    return out
 
 
 def rrf(candidates: DataFrame, k: int = 60) -> DataFrame:
-    """Sum over lists of 1 / (k + rank), with the evidence of each list and the fused rank."""
+    """Sum over lists of 1 / (k + rank), with the evidence of each stage and the fused rank."""
     if k <= 0:
         raise ConfigError("rrf_k must be positive")
     score = F.round(F.sum(1.0 / (k + F.col("rank"))), DIGITS)
-    return rank(candidates.groupBy("qid", "chunk_id").agg(score.alias("score"), *_stages()), "score", "fused_rank", "qid")
+    return rank(numbered(candidates).groupBy("qid", "chunk_id").agg(score.alias("score"), *_stages()), "score", "fused_rank", "qid")
 
 
-def weighted(candidates: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted sum of scores that are min-max normalised per list; a flat list counts 1.0 throughout."""
+def weighted(candidates: DataFrame, weights: list[float] | None = None, n_lists: int | None = None) -> DataFrame:
+    """Weighted sum of scores that are min-max normalised per list; a flat list counts 1.0 throughout.
+
+    ``weights`` are of the lists by their number; without any, all of ``n_lists`` (or those the query has) count alike.
+    """
+    if weights is not None and n_lists is not None and len(weights) != n_lists:
+        raise ConfigError(f"{len(weights)} weights for {n_lists} lists")
+    candidates = numbered(candidates)
     per = Window.partitionBy("qid", "retriever")
     low, high = F.min("score").over(per), F.max("score").over(per)
     unit = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0))
-    weight: Column = F.lit(None).cast("double")
-    for name, w in (weights or {}).items():
-        weight = F.when(F.col("retriever") == name, F.lit(float(w))).otherwise(weight)
-    if weights is None:  # uniform over the lists of the query
-        lists = F.size(F.collect_set("retriever").over(Window.partitionBy("qid")))
-        weight = 1.0 / lists
-    scored = candidates.withColumn("part", F.coalesce(weight, F.lit(0.0)) * unit)
+    if weights is not None:
+        weight = F.coalesce(F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("list_no")), F.lit(0.0))
+    else:
+        weight = 1.0 / (F.lit(n_lists) if n_lists else F.size(F.collect_set("retriever").over(Window.partitionBy("qid"))))
+    scored = candidates.withColumn("part", weight * unit)
     return rank(scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), *_stages()), "score", "fused_rank", "qid")
 
 
 def fuse(candidates: DataFrame, n_lists: int, method: str = "rrf", rrf_k: int = 60, dense_weight: float = 0.5) -> DataFrame:
-    """Two lists use the dense weight; any other number is weighted evenly."""
+    """Of two lists the first has the dense weight and the second the rest; any other number is weighted evenly."""
     if method == "rrf":
         return rrf(candidates, rrf_k)
     if method == "weighted":
-        return weighted(candidates, {"dense": dense_weight, "lexical": 1 - dense_weight} if n_lists == 2 else None)
+        return weighted(candidates, [dense_weight, 1 - dense_weight] if n_lists == 2 else None, n_lists)
     raise ConfigError(f"unknown fusion {method!r}")
 
 
-def candidate_counts(candidates: DataFrame, fused: DataFrame) -> DataFrame:
-    """qid, stage, n: list sizes before, and candidates after, removing repeats."""
-    before = candidates.groupBy("qid", F.col("retriever").alias("stage")).agg(F.count("*").alias("n"))
-    return before.unionByName(fused.groupBy("qid", F.lit("fused").alias("stage")).agg(F.count("*").alias("n")))
+def candidate_counts(candidates: DataFrame, fused: DataFrame, reranked: DataFrame | None = None) -> DataFrame:
+    """qid, stage, n: list sizes before, and candidates after, removing repeats, and of those that were reranked."""
+    out = candidates.groupBy("qid", F.col("retriever").alias("stage")).agg(F.count("*").alias("n"))
+    for name, df in (("fused", fused), ("reranked", reranked)):
+        if df is not None:
+            out = out.unionByName(df.groupBy("qid", F.lit(name).alias("stage")).agg(F.count("*").alias("n")))
+    return out

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.runtime import stage
+
 #: Queries that a worker holds at once; larger query sets are answered in several blocks.
 BLOCK = 4096
 #: Rows of the corpus that are scored at once.
-ROWS = 1024
+ROWS = 512
 DIGITS = 9
 
 
@@ -31,64 +35,82 @@ def rank_movement(before: Column, after: Column) -> Column:
     return before - after
 
 
-def partition_top_k(names: list[str], blocks: Iterator[np.ndarray], k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k rows per query of one partition: query number, row number, rounded score.
+class Best:
+    """The k best rows of every query of a block, by (-score, name), from rows that stream by.
 
-    ``blocks`` gives scores (rows x queries) for successive rows of ``names``.  Score and
-    name go into one integer key, so ties come out by name exactly.
+    Holds k rows per query and what came since the last pruning, which is bounded; never the rows themselves.
     """
-    place = np.empty(len(names), np.int64)
-    place[np.argsort(np.array(names, dtype=object), kind="stable")] = np.arange(len(names))
-    bits = max(1, int(len(names)).bit_length())
-    best = None
-    at = 0
-    for scores in blocks:
-        whole = np.rint(scores * 10**DIGITS).astype(np.int64)
-        key = (whole << bits) | (len(names) - place[at : at + len(scores)])[:, None]
-        if floor is not None:
-            key[whole <= round(floor * 10**DIGITS)] = np.iinfo(np.int64).min
-        at += len(scores)
-        best = key if best is None else np.concatenate([best, key])
-        if len(best) > k:
-            best = np.partition(best, len(best) - k, axis=0)[-k:]
-    if best is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    row, query = np.nonzero(best > np.iinfo(np.int64).min)
-    key = best[row, query]
-    back = np.empty(len(names), np.int64)
-    back[place] = np.arange(len(names))
-    return query, back[len(names) - (key & ((1 << bits) - 1))], (key >> bits) / 10.0**DIGITS
-
-
-def blocked_top_k(corpus: DataFrame, blocks: list[tuple[list[str], object]], score: Callable[[pa.Table, object], Iterator[np.ndarray]], k: int, floor: float | None = None) -> DataFrame:
+
+    def __init__(self, n_queries: int, k: int, floor: float | None = None):
+        self.k, self.limit = k, 4 * k * n_queries + ROWS
+        self.least = np.full(n_queries, -np.inf if floor is None else np.nextafter(floor, np.inf))
+        self.query, self.score, self.name = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+
+    def add(self, names: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: rows x queries."""
+        scores = np.round(scores, DIGITS)
+        if len(scores) > 2 * self.k:  # no row below the k-th of this batch alone can stay
+            at = len(scores) - self.k
+            least = np.maximum(self.least, np.partition(scores, at, axis=0)[at])
+        else:
+            least = self.least
+        row, query = np.nonzero(scores >= least)
+        self.query = np.concatenate([self.query, query])
+        self.score = np.concatenate([self.score, scores[row, query]])
+        self.name = np.concatenate([self.name, names[row]])
+        if len(self.query) > self.limit:
+            self._prune()
+
+    def _prune(self) -> None:
+        _, place = np.unique(self.name.astype(object), return_inverse=True)
+        order = np.lexsort((place, -self.score, self.query))
+        query = self.query[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, np.int64)
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kept = order[nth < self.k]
+        last = order[nth == self.k - 1]
+        self.least[self.query[last]] = np.maximum(self.least[self.query[last]], self.score[last])
+        self.query, self.score, self.name = self.query[kept], self.score[kept], self.name[kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._prune()
+        return self.query, self.name, self.score
+
+
+def blocked_top_k(corpus: DataFrame, blocks: Iterator[tuple[list[str], object]], score: Callable[[pa.Table, object], Iterator[np.ndarray]], k: int, floor: float | None = None) -> DataFrame:
     """qid, chunk_id, score, rank: every query of every block against all rows of ``corpus`` (id first).
 
-    Partitions keep their own k best per query, so k rows per query and partition
-    are shuffled, whatever the corpus holds.  A block of queries has a fixed bound.
+    Partitions stream their rows and keep their own k best per query, so k rows per query and
+    partition are shuffled, whatever the corpus holds.  A block of queries has a fixed bound and
+    is broadcast; where there are several, each is answered and stored before the next is made.
     """
     spark = corpus.sparkSession
-    parts = []
-    for qids, payload in blocks:
-        shared = spark.sparkContext.broadcast((qids, payload))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
+    done: list[DataFrame] = []
+    held = None
+
+    def answered(block: tuple[list[str], object]) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, payload = shared.value
-            table = pa.Table.from_batches(held)
-            names = table.column(0).to_pylist()
-            query, row, value = partition_top_k(names, score(table, payload), k, floor)
-            ids = pa.array(qids, pa.string())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array([names[i] for i in row.tolist()], pa.string()), pa.array(value)], names=["qid", "chunk_id", "score"])
-
-        parts.append(corpus.mapInArrow(run, "qid string, chunk_id string, score double"))
-    if not parts:
+            best = Best(len(qids), k, floor)
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    part = pa.Table.from_batches([b.slice(at, ROWS)])
+                    best.add(np.array(part.column(0).to_pylist(), object), score(part, payload))
+            query, name, value = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.string()).take(pa.array(query)), pa.array(name, pa.string()), pa.array(value)], names=["qid", "chunk_id", "score"])
+
+        return top_k(corpus.mapInArrow(run, "qid string, chunk_id string, score double"), "score", k, "qid"), shared
+
+    for block in blocks if k > 0 else ():
+        if held is not None:
+            done.append(stage(held[0]))
+            held[1].unpersist()
+        held = answered(block)
+    if held is None:
         return spark.createDataFrame([], "qid string, chunk_id string, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, "score", k, "qid")
+    return reduce(DataFrame.unionByName, [*done, held[0]])
 
 
 def query_blocks(queries: DataFrame, qid: str, payload: str, size: int | None = None) -> Iterator[tuple[list[str], list]]:

@@ -71,3 +71,10 @@ def update_cache(cache: DataFrame, scored: DataFrame, size: int) -> DataFrame:
     latest = F.row_number().over(Window.partitionBy("query_key", "chunk_id").orderBy(F.desc("used_at")))
     one = both.withColumn("__n", latest).where("__n = 1").drop("__n")
     return one.orderBy(F.desc("used_at"), "query_key", "chunk_id").limit(size)
+
+
+def cache_report(lookups: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: lookups (query_key, chunk_id) that the cache answers, those that it does not, and the share of the first (0 without any)."""
+    known = cache.select("query_key", "chunk_id").distinct().withColumn("__hit", F.lit(True))
+    met = lookups.join(known, ["query_key", "chunk_id"], "left").agg(F.count("__hit").alias("hits"), F.count_if(F.col("__hit").isNull()).alias("misses"))
+    return met.select("hits", "misses", F.round(F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)), DIGITS).alias("hit_rate"))

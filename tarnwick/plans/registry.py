@@ -13,7 +13,7 @@ from tarnwick.functions.embedding import HashEmbedder, embed
 from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
 from tarnwick.plans import retrieval
 from tarnwick.plans.sql import SQL
-from tarnwick.runtime import stage
+from tarnwick.runtime import once, shared_dir, stage
 from tarnwick.sources import files
 from tarnwick.streaming import events as streams
 
@@ -25,13 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks, each once; rows written again have the same content."""
-    chunks = table(spark, d, "chunks").where("chunk_id IS NOT NULL")
-    return chunks.groupBy("chunk_id").agg(F.max("doc_id").alias("doc_id"), F.max("collection").alias("collection"), F.max("text").alias("text"), F.max("start_char").alias("start_char"), F.max("token_count").alias("token_count"))
+    """Chunks, each once, as last written; made once per application for the same files."""
+    def make() -> DataFrame:
+        chunks = table(spark, d, "chunks").where("chunk_id IS NOT NULL")
+        wanted = ["ingested_at", "doc_id", "collection", "text", "start_char", "token_count", "section_path", "page_number"]
+        return evaluate.one_row(chunks.select("chunk_id", *wanted), "chunk_id", *wanted).drop("ingested_at")
+
+    return once(spark, "corpus", [f"{d}/chunks.parquet"], make)
+
+
+def lexical(spark: SparkSession, d: str) -> bm25.Index:
+    """The lexical index of the corpus; it goes with the application."""
+    return bm25.ensure(corpus(spark, d), f"{shared_dir(spark)}/tarnwick/{spark.sparkContext.applicationId}/bm25")
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.golden_once(table(spark, d, "golden_set"))
+    return once(spark, "golden", [f"{d}/golden_set.parquet"], lambda: evaluate.golden_once(table(spark, d, "golden_set")))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +48,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = bm25.idf(bm25.tokenised(corpus(spark, d)))
-    return stats.select("term", "df", F.round("idf", 9).alias("idf"))
+    return lexical(spark, d).weights.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.top_k(corpus(spark, d), golden(spark, d), 10)
+    return bm25.top_k(lexical(spark, d), golden(spark, d), 10)
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +76,30 @@ def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_chunks(chunks, table(spark, d, "documents"), wanted).select("chunk_id", "doc_id").distinct()
 
 
+AUTHOR = "Vewo"
+
+
+def list_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of which, or of whose document, one of the authors is the wanted one."""
+    chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "metadata")
+    return filters.filter_chunks(chunks, table(spark, d, "documents"), {"authors": AUTHOR}, {"authors": "; "}).select("chunk_id", "doc_id").distinct()
+
+
+def document_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(filters.matches(F.col("metadata"), {"authors": AUTHOR}, lists={"authors": "; "}))
+    return filters.page(store.listing(docs, corpus(spark, d)), "doc_id", 50)
+
+
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Both retrievers search only the chunks with a stated publication date, in them or in their document."""
+    config = RetrievalConfig(use_rerank=False, final_top_k=10)
+    dates = table(spark, d, "documents").select(F.max(F.element_at("metadata", "published"))).first()[0]
+    own = evaluate.one_row(table(spark, d, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "ingested_at", F.to_json("metadata").alias("m")), "chunk_id", "ingested_at")
+    chunks = corpus(spark, d).join(own.select("chunk_id", F.from_json("m", "map<string,string>").alias("metadata")), "chunk_id")
+    found = retrieval.retrieve(chunks, golden(spark, d), config, index=lexical(spark, d), filters={"published": dates}, documents=table(spark, d, "documents"))
+    return found.select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
+
+
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     vectors = corpus(spark, d).select("chunk_id", embed(F.col("text"), HashEmbedder()).alias("v"))
     return vectors.select("chunk_id", F.posexplode("v").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 9))
@@ -77,8 +109,10 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return fusion.distinct_hits(table(spark, d, "search_hits"))
 
 
-def _pair(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).where(F.col("retriever").isin("dense", "lexical"))
+def _pair(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    """Dense and lexical hits, of the asked queries alone where they are given: others are left out before any ranking."""
+    hits = table(spark, d, "search_hits").where(F.col("retriever").isin("dense", "lexical"))
+    return fusion.distinct_hits(hits if asked is None else hits.join(asked.select("qid"), "qid", "left_semi"))
 
 
 def rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -96,22 +130,31 @@ def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     config = RetrievalConfig(use_rerank=False, final_top_k=10)
-    found = retrieval.retrieve(corpus(spark, d), golden(spark, d), config)
+    found = retrieval.retrieve(corpus(spark, d), golden(spark, d), config, index=lexical(spark, d))
     return found.select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
 
 
+def debug_trail(spark: SparkSession, d: str) -> DataFrame:
+    """What led to the results of the golden questions: candidates of every stage, and evidence and movement of each result."""
+    config = RetrievalConfig()
+    found = retrieval.traced(corpus(spark, d), golden(spark, d), config, index=lexical(spark, d))
+    trail = retrieval.debug_trail(found, config)
+    return trail.select("qid", *[F.coalesce(F.element_at("candidate_counts", c), F.lit(0)).alias(f"n_{c}") for c in ("dense", "lexical", "fused", "reranked")],
+                        F.transform("stages", lambda x: F.format_string("%s:%d", x["chunk_id"], x["rank_movement"])).alias("results"))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """Every logged query with its text; the golden question where none was logged, and no words where there is neither."""
     logged = table(spark, d, "retrieval_results").where("qid IS NOT NULL").groupBy("qid").agg(F.max("query").alias("query"))
     known = logged.join(golden(spark, d).select("qid", "question"), "qid", "full")
-    known = known.join(_pair(spark, d).select("qid").distinct(), "qid", "full")
+    known = known.join(table(spark, d, "search_hits").where("qid IS NOT NULL AND retriever IN ('dense', 'lexical') AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)").select("qid").distinct(), "qid", "full")
     return known.select("qid", F.coalesce("query", "question", F.lit("")).alias("question"))
 
 
 def _reranked(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
-    """Of the golden questions, as the SQL has it, or of those asked."""
-    short = rerank.shortlist(fusion.rrf(_pair(spark, d)), 20)
+    """Of the golden questions, or of those asked."""
     asked = (golden(spark, d) if asked is None else asked).select("qid", "question")
+    short = rerank.shortlist(fusion.rrf(_pair(spark, d, asked)), 20)
     return rerank.rerank(short.join(asked, "qid").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id"), 5)
 
 
@@ -124,17 +167,19 @@ def rerank_all(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(spark, d, _asked(spark, d)).select("qid", "chunk_id", "fused_rank", "rerank_score", "final_rank", "rank_movement")
 
 
-def refusal(spark: SparkSession, d: str) -> DataFrame:
-    hits = _hits(spark, d).withColumn("rerank_score", F.when(F.col("retriever") == "rerank", F.col("score")))
+def refusal(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    hits = table(spark, d, "search_hits")
+    hits = fusion.distinct_hits(hits if asked is None else hits.join(asked.select("qid"), "qid", "left_semi"))
+    hits = hits.withColumn("rerank_score", F.when(F.col("retriever") == "rerank", F.col("score")))
     per = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"), F.max("rerank_score").alias("rerank_score"))
-    return answer.refusal(per, table(spark, d, "retrieval_results"))
+    logged = table(spark, d, "retrieval_results")
+    return answer.refusal(per, logged if asked is None else logged.join(asked.select("qid"), "qid", "left_semi"))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    results = fusion.rrf(_pair(spark, d)).where("fused_rank <= 5").select("qid", "chunk_id", F.col("fused_rank").alias("rank"))
     asked = golden(spark, d)
-    known = results.join(asked.select("qid"), "qid", "left_semi").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
-    return evaluate.relevance(known, asked)
+    results = fusion.rrf(_pair(spark, d, asked)).where("fused_rank <= 5").select("qid", "chunk_id", F.col("fused_rank").alias("rank"))
+    return evaluate.relevance(results.join(corpus(spark, d).select("chunk_id", "text"), "chunk_id"), asked)
 
 
 def relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +193,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def breakdowns(spark: SparkSession, d: str) -> DataFrame:
     asked = golden(spark, d).select("qid", "category", "difficulty")
-    refused = refusal(spark, d).select("qid", "refused")
+    refused = refusal(spark, d, asked).select("qid", "refused")
     rows = retrieval_metrics(spark, d).join(asked, "qid").join(refused, "qid", "left").withColumn("refused", F.coalesce("refused", F.lit(True)))
     return evaluate.breakdowns(rows)
 
@@ -157,6 +202,11 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.latency(table(spark, d, "retrieval_results"), "total_ms", "run_id")
 
 
+def latency_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Every stage; the log has the time of the whole alone, so the others have zeros."""
+    return evaluate.stage_latency(table(spark, d, "retrieval_results"))
+
+
 def golden_counts(spark: SparkSession, d: str) -> DataFrame:
     return golden(spark, d).groupBy("category", "difficulty").agg(F.count("*").alias("n"))
 
@@ -170,7 +220,8 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return answer.number_sources(_reranked(spark, d)).select("qid", "source_no", "chunk_id", "text")
+    """Numbered sources of the golden questions; written once, as plans read them more than once."""
+    return stage(answer.number_sources(_reranked(spark, d)).select("qid", "source_no", "chunk_id", "text"))
 
 
 def extractive(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +241,10 @@ def extractive_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _golden_answers(spark: SparkSession, d: str) -> DataFrame:
-    return golden(spark, d).where("answer != ''").select("qid", F.concat("answer", F.lit(" [1] [9]")).alias("answer"))
+    """Golden answers with citations after each sentence: of its number, of one more, and of the first again."""
+    cited = lambda s, i: F.concat(s, F.format_string(" [%d] [%d] [1]", i + 1, i * 7 + 2))
+    said = F.array_join(F.transform(text.sentences(F.col("answer")), cited), " ")
+    return golden(spark, d).where("answer != ''").select("qid", said.alias("answer"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -208,31 +262,51 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Every query, answered or refused; one without a known text has no words, scores 0 and is refused."""
     found, asked = _all_reranked(spark, d)
-    return retrieval.respond(found.withColumn("score", F.col("rerank_score")), asked)
+    said = retrieval.respond(found.withColumn("score", F.col("rerank_score")), asked)
+    cited = F.transform("citations", lambda x: F.concat(x["marker"].cast("string"), F.lit(":"), F.coalesce(x["chunk_id"], F.lit("?"))))
+    return said.withColumns({"citations": cited, "sources": F.transform("sources", lambda x: x["chunk_id"])})
 
 
-def _prompts(spark: SparkSession, d: str, sources: DataFrame) -> DataFrame:
-    titles = table(spark, d, "documents").select("doc_id", text.title(F.col("metadata"), F.col("source_path")).alias("title"))
-    owners = corpus(spark, d).select("chunk_id", "doc_id").join(titles, "doc_id", "left")
-    labelled = sources.join(owners, "chunk_id").withColumn("label", F.coalesce("title", F.col("doc_id").cast("string")))
-    return answer.prompt(labelled)
+def _prompts(spark: SparkSession, d: str, found: DataFrame, asked: DataFrame) -> DataFrame:
+    sources = retrieval.source_refs(found.withColumn("score", F.col("rerank_score")), corpus(spark, d), table(spark, d, "documents"))
+    return answer.prompt(sources, asked)
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered source blocks, labelled by the document's title."""
-    return _prompts(spark, d, _sources(spark, d))
+    """Whole prompts of the golden questions: rules, numbered sources by section or title, question."""
+    return _prompts(spark, d, _reranked(spark, d), golden(spark, d)).select("qid", "sources", F.col("prompt").startswith(answer.RULES).alias("rules"), F.expr("substring(prompt, instr(prompt, sources) + length(sources))").alias("rest"))
 
 
 def prompts_all(spark: SparkSession, d: str) -> DataFrame:
     """prompts over every query, not only those of the golden set."""
-    return _prompts(spark, d, answer.number_sources(_all_reranked(spark, d)[0]))
+    found, asked = _all_reranked(spark, d)
+    return _prompts(spark, d, found, asked).select("qid", "sources")
 
 
-def citation_precision(spark: SparkSession, d: str) -> DataFrame:
-    said = answer.extractive(_sources(spark, d), golden(spark, d))
+def _cited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources of the golden questions, extractive answers over them, and which sources are relevant."""
     sources, asked = _sources(spark, d), golden(spark, d)
     flags = evaluate.relevance(sources.withColumn("rank", F.col("source_no")), asked)
-    return evaluate.citation_precision(answer.citations(said, sources), flags, asked)
+    return sources, answer.extractive(sources, asked), flags
+
+
+def citation_precision(spark: SparkSession, d: str) -> DataFrame:
+    sources, said, flags = _cited(spark, d)
+    return evaluate.citation_precision(answer.citations(said, sources), flags, golden(spark, d))
+
+
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The means of a run: the golden questions answered from their reranked results."""
+    asked = golden(spark, d)
+    sources, _, flags = _cited(spark, d)
+    results = sources.join(_reranked(spark, d).select("qid", "chunk_id", "rerank_score", F.col("final_rank")), ["qid", "chunk_id"]).withColumn("score", F.col("rerank_score"))
+    said = stage(retrieval.respond(results, asked))
+    flags = stage(flags)
+    answered = said.where("NOT refused")
+    rows = evaluate.retrieval_metrics(flags, evaluate.relevant_total(corpus(spark, d), asked), 5)
+    rows = rows.join(said.select("qid", "refused", "grounded"), "qid").join(asked.select("qid", "category"), "qid")
+    rows = rows.join(evaluate.citation_precision(answer.citations(answered, sources), flags, asked), "qid").join(evaluate.answer_similarity(answered, asked), "qid", "left")
+    return evaluate.run_metrics(rows)
 
 
 #: The reference's matrix without the two rows that need a language model, and weighted fusion without reranking.
@@ -245,7 +319,7 @@ ABLATION = [
 def _ablated(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """Hits of every configuration over the golden questions, the documents' chunks by strategy, and the questions."""
     docs, asked = table(spark, d, "documents"), stage(golden(spark, d))
-    chunks = {s: stage(chunking.chunker(s)(docs).select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "text")) for s in dict.fromkeys(c.chunk_strategy for c in ABLATION)}
+    chunks = {s: stage(chunking.chunker(s, embedder=HashEmbedder())(docs).select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "text")) for s in dict.fromkeys(c.chunk_strategy for c in ABLATION)}
     return retrieval.ablate(chunks, asked, ABLATION), chunks, asked
 
 
@@ -275,16 +349,22 @@ def multi_query(spark: SparkSession, d: str) -> DataFrame:
     logged = table(spark, d, "retrieval_results").groupBy("qid").agg(F.max("expanded_queries").alias("e")).join(asked.select("qid"), "qid", "left_semi")
     variants = logged.select("qid", F.posexplode("e").alias("i", "question")).where("question IS NOT NULL").withColumn("variant", F.col("i") + 1)
     config = RetrievalConfig(expansion="multi_query", use_rerank=False)
-    lists, _ = retrieval.candidates(corpus(spark, d), asked, config, paraphrases=variants)
-    return fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank")
+    lists, _ = retrieval.candidates(corpus(spark, d), asked, config, paraphrases=variants, index=lexical(spark, d))
+    return fusion.rrf(lists).where("fused_rank <= 10").select("qid", "chunk_id", "score", "fused_rank", "dense_rank", "lexical_rank")
 
 
 def _score_cache(spark: SparkSession, d: str, size: int) -> DataFrame:
     logged = table(spark, d, "search_hits").where("retriever = 'rerank' AND score IS NOT NULL AND NOT isnan(score) AND logged_at IS NOT NULL")
-    entries = logged.groupBy(F.col("qid").alias("query_key"), "chunk_id", F.col("logged_at").alias("used_at")).agg(F.max("score").alias("rerank_score")).select("query_key", "chunk_id", "rerank_score", "used_at")
+    entries = logged.groupBy(rerank.cache_key(F.col("qid")).alias("query_key"), "chunk_id", F.col("logged_at").alias("used_at")).agg(F.max("score").alias("rerank_score")).select("query_key", "chunk_id", "rerank_score", "used_at")
     return rerank.update_cache(entries.where("false"), entries, size)
 
 
+def cache_report(spark: SparkSession, d: str) -> DataFrame:
+    """Hits, misses and hit rate of the reranker's logged pairs in a cache of 1,000 entries."""
+    pairs = table(spark, d, "search_hits").where("retriever = 'rerank'").select(rerank.cache_key(F.col("qid")).alias("query_key"), "chunk_id")
+    return rerank.cache_report(pairs, _score_cache(spark, d, 1000))
+
+
 def score_cache(spark: SparkSession, d: str) -> DataFrame:
     """The newest 1,000 rerank scores by query and chunk, as the SQL has it; the limit is the feature."""
     return _score_cache(spark, d, 1000)
@@ -301,9 +381,8 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = _sized(spark, d)
-    made = chunking.fixed_token(docs, F.coalesce("chunk_size", F.lit(512)), F.coalesce("chunk_overlap", F.lit(64)))
-    return made.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("largest"), F.sum("token_count").alias("tokens"))
+    made = chunking.fixed_token(_sized(spark, d), F.coalesce("chunk_size", F.lit(512)), F.coalesce("chunk_overlap", F.lit(64)))
+    return made.drop("metadata", "strategy")
 
 
 def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +390,7 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups = chunking.semantic_groups(chunking.sentence_table(table(spark, d, "documents")))
+    groups = chunking.semantic_groups(table(spark, d, "documents"))
     return groups.select(F.col("doc_id").cast("long").alias("doc_id"), "sent_no", F.round("distance", 6).alias("distance"), "group_no")
 
 
@@ -370,11 +449,12 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return files.blocks_of(table(spark, d, "documents").where("media_type = 'text/html'"))
+    """Blocks of every text that has any, whatever its media type says."""
+    return files.blocks_of(table(spark, d, "documents"))
 
 
 def html_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return files.markdown_of(table(spark, d, "documents").where("media_type = 'text/html'"))
+    return files.markdown_of(table(spark, d, "documents")).where("markdown != ''")
 
 
 def approximate_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -394,11 +474,11 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMED: list[Query] = [
-    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, rerank_overlap, rerank_all,
-    refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
-    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, ablation, ablation_hits, multi_query, score_cache, score_cache_default, fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles,
-    change_detection, upsert_state, delete_state, list_documents, count_chunks, ingest_summary, html_blocks, html_markdown, approximate_tokens,
-    token_bucket, event_windows, event_sessions,
+    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, list_filter, document_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, hybrid_filtered, debug_trail, rerank_overlap, rerank_all,
+    refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, latency_stages, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
+    sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, evaluation, ablation, ablation_hits, multi_query, score_cache, score_cache_default, cache_report,
+    fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles, change_detection, upsert_state, delete_state, list_documents, count_chunks,
+    ingest_summary, html_blocks, html_markdown, approximate_tokens, token_bucket, event_windows, event_sessions,
 ]
 
 

@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -112,6 +113,20 @@ def unstage(*staged: DataFrame) -> None:
             files.delete(where, True)
 
 
+def once(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once per application and stored, as long as its source files are the same."""
+    seen = [name]
+    for source in sources:
+        where, files = hadoop_path(spark, source)
+        found = files.listStatus(where) if files.exists(where) else ()
+        seen += [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in found]
+    made = spark.sparkContext.__dict__.setdefault("_tarnwick_once", {})
+    key = tuple(seen)
+    if key not in made:
+        made[key] = stage(make())
+    return made[key]
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions that a shuffle gets in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _S, _I, _L, _D, _B, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
@@ -20,14 +19,3 @@ EMBEDDED_CHUNK = T.StructType([*CHUNK.fields, T.StructField("embedding", T.Array
 COLLECTION = _struct(name=_S, embedder=_S, dimension=_I, created_at=_TS)
 GOLDEN = _struct(qid=_S, question=_S, relevant_doc_ids=T.ArrayType(_S), relevant_chunk_texts=T.ArrayType(_S), answer=_S, category=_S, difficulty=_S)
 SEARCH_HIT = _struct(qid=_S, retriever=_S, chunk_id=_S, score=_D)
-
-
-class SchemaError(ValueError):
-    """A table lacks a column or has it with another type."""
-
-
-def require(df: DataFrame, *columns: str) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise SchemaError(f"missing columns: {', '.join(missing)}")
-    return df

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarnwick.config import ConfigError
+
 DECISION = "user_id long, event_id long, allowed boolean, tokens double"
 
 
@@ -45,10 +47,13 @@ def take(pdf: pd.DataFrame, tokens: float, last: float | None, rate: float, capa
 def token_bucket(events: DataFrame, per_minute: float = 60.0, capacity: float | None = None, late: str = "10 minutes") -> DataFrame:
     """A decision for every event.  On a stream, the state of each user survives batches and expires when idle.
 
-    A user's events are taken in order, in Arrow batches, so a busy user is never held as a whole.
+    On a table, a user's events are taken in order, in Arrow batches, so a busy user is never held as a whole;
+    on a stream, those of one micro-batch are, to be put in order.  A rate of 0 never refills.
     """
-    cap, rate = capacity or per_minute, per_minute / 60.0
-    idle = int(1000 * max(60.0, cap / rate * 2))
+    if per_minute < 0 or (capacity is not None and capacity < 0):
+        raise ConfigError("rate and capacity must not be negative")
+    cap, rate = per_minute if capacity is None else capacity, per_minute / 60.0
+    idle = int(1000 * max(60.0, cap / rate * 2)) if rate else 10 * 365 * 86_400_000
 
     def step(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -9,32 +9,38 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tarnwick.functions.embedding import Embedder, HashEmbedder, embed
 from tarnwick.operators import chunking
 from tarnwick.operators.store import Collection, changes
+from tarnwick.runtime import stage, unstage
 from tarnwick.sources.files import SUFFIXES, parse
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def ingest(collection: Collection, files: DataFrame, size: int = 512, model: Embedder | None = None) -> DataFrame:
-    """Ingest a batch of (path, content); returns doc_id, status, error.  Unchanged documents are neither chunked nor embedded."""
+def ingest(collection: Collection, files: DataFrame, size: int = 512, model: Embedder | None = None, strategy: str = "recursive_structural", overlap: int = 64) -> DataFrame:
+    """Ingest a batch of (path, content); returns doc_id, status, error.  Unchanged documents are neither chunked nor embedded.
+
+    What is parsed, and which documents changed, is stored for the batch, so that neither is done twice.
+    """
     model = model or HashEmbedder(collection.dimension)
-    docs = parse(files).persist()
+    docs = stage(parse(files))
     good = docs.where("error IS NULL").dropDuplicates(["doc_id"])
     if collection.documents.version() is None:
         status = good.select("doc_id", "content_hash", F.lit("new").alias("status"))
     else:
         status = changes(good, collection.documents.read())
-    status = status.persist()
+    status = stage(status)
     todo = good.join(status.where("status != 'unchanged'").select("doc_id"), "doc_id", "left_semi")
     if not todo.isEmpty():
-        chunks = chunking.recursive_structural(todo, size).withColumn("embedding", embed(F.col("text"), model).cast("array<float>"))
-        collection.upsert(todo.drop("error"), chunks)
+        made = chunking.chunker(strategy, size, overlap, model)(todo)
+        collection.upsert(todo.drop("error"), made.withColumn("embedding", embed(F.col("text"), model).cast("array<float>")))
     failed = docs.where("error IS NOT NULL").select("doc_id", F.lit("failed").alias("status"), "error")
-    return status.select("doc_id", "status", F.lit(None).cast("string").alias("error")).unionByName(failed)
+    out = stage(status.select("doc_id", "status", F.lit(None).cast("string").alias("error")).unionByName(failed))
+    unstage(docs, status)
+    return out
 
 
-def watch(spark: SparkSession, directory: str, collection: Collection, checkpoint: str, size: int = 512) -> StreamingQuery:
+def watch(spark: SparkSession, directory: str, collection: Collection, checkpoint: str, size: int = 512, strategy: str = "recursive_structural") -> StreamingQuery:
     """A stream over the folder; each micro-batch is one atomic replacement. A batch that is run again changes nothing."""
     collection.ensure()
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(directory)
     wanted = files.where(F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).isin(*SUFFIXES)).select("path", "content")
-    return wanted.writeStream.foreachBatch(lambda df, _: ingest(collection, df, size).count()).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return wanted.writeStream.foreachBatch(lambda df, _: unstage(ingest(collection, df, size, strategy=strategy))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,15 @@
 import math
 import re
+import shutil
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnwick.config import ConfigError, RetrievalConfig
+from tarnwick.functions.embedding import HashEmbedder
 from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, ranking, rerank, store
 from tarnwick.plans import retrieval
 
@@ -15,31 +20,75 @@ def lists(spark, **given):
 
 
 def test_rrf_by_hand(spark):
-    got = fusion.rrf(lists(spark, dense=[("A", 3), ("B", 2), ("C", 1)], lexical=[("B", 2), ("D", 1)])).orderBy("fused_rank").collect()
-    assert [r["chunk_id"] for r in got] == ["B", "A", "D", "C"]
-    assert [r["score"] for r in got] == pytest.approx([0.0325224749, 0.0163934426, 0.0161290323, 0.0158730159], abs=1e-8)
-    assert (got[0]["dense_rank"], got[0]["lexical_rank"], got[1]["lexical_rank"]) == (2, 1, None)
+    got = fusion.rrf(lists(spark, dense=[("p", 7), ("q", 5), ("r", 2)], lexical=[("s", 9), ("q", 4), ("r", 1)]), 10).orderBy("fused_rank").collect()
+    assert [r["chunk_id"] for r in got] == ["q", "r", "p", "s"]  # p and s are equal, and go by id
+    assert [r["score"] for r in got] == pytest.approx([2 / 12, 2 / 13, 1 / 11, 1 / 11], abs=1e-8)
+    assert (got[0]["dense_rank"], got[0]["lexical_rank"], got[2]["lexical_rank"]) == (2, 2, None)
 
 
 def test_rrf_k_turns_the_order(spark):
-    given = lists(spark, dense=[("A", 4), ("B", 3), ("C", 2), ("D", 1)], lexical=[("E", 4), ("F", 3), ("G", 2), ("D", 1)])
-    assert fusion.rrf(given, 1).where("fused_rank = 1").first()["chunk_id"] == "A"
-    assert fusion.rrf(given, 1000).where("fused_rank = 1").first()["chunk_id"] == "D"
+    given = lists(spark, dense=[("x", 9), ("y", 8), ("z", 7)], lexical=[("u", 9), ("v", 8), ("z", 7)])
+    assert fusion.rrf(given, 1).where("fused_rank = 1").first()["chunk_id"] == "u"  # 1/2 each for u and x; 2/4 for z
+    assert fusion.rrf(given, 500).where("fused_rank = 1").first()["chunk_id"] == "z"
     with pytest.raises(ConfigError):
         fusion.rrf(given, 0)
 
 
 def test_weighted_by_hand(spark):
-    got = fusion.fuse(lists(spark, dense=[("A", 0.9), ("B", 0.5), ("C", 0.1)], lexical=[("B", 10), ("D", 2)]), 2, "weighted").collect()
-    assert {r["chunk_id"]: r["score"] for r in got} == pytest.approx({"B": 0.75, "A": 0.5, "C": 0.0, "D": 0.0})
+    given = lists(spark, dense=[("p", 8), ("q", 4), ("r", 0)], lexical=[("q", 30), ("s", 20), ("r", 10)])
+    got = fusion.fuse(given, 2, "weighted", dense_weight=0.6).collect()
+    assert {r["chunk_id"]: r["score"] for r in got} == pytest.approx({"p": 0.6, "q": 0.7, "s": 0.2, "r": 0.0})
     flat = fusion.weighted(lists(spark, dense=[("A", 0.4), ("B", 0.4)])).collect()
     assert [r["score"] for r in flat] == [1.0, 1.0]
+    with pytest.raises(ConfigError):
+        fusion.weighted(given, [0.5, 0.3, 0.2], 2)
+
+
+def numbered(spark, *rows):
+    return spark.createDataFrame(list(rows), "qid string, retriever string, list_no int, chunk_id string, score double, rank int")
+
+
+def test_two_lists_are_weighted_by_number_whatever_their_names(spark):
+    both = numbered(spark, ("q", "dense", 0, "a", 1.0, 1), ("q", "dense_hyde", 1, "b", 5.0, 1))
+    got = {r["chunk_id"]: r for r in fusion.fuse(both, 2, "weighted", dense_weight=0.3).collect()}
+    assert (got["a"]["score"], got["b"]["score"]) == (0.3, 0.7)
+    three = numbered(spark, ("q", "dense", 0, "a", 1.0, 1), ("q", "dense_1", 1, "b", 5.0, 1))  # the third list found nothing
+    assert {r["score"] for r in fusion.fuse(three, 3, "weighted", dense_weight=0.3).collect()} == {round(1 / 3, 9)}
+
+
+def test_evidence_is_that_of_the_first_list_of_its_stage(spark):
+    rows = numbered(spark, ("q", "dense", 0, "a", 0.9, 4), ("q", "dense_1", 1, "a", 0.95, 1), ("q", "dense_1", 1, "b", 0.8, 2), ("q", "lexical_2", 4, "b", 3.0, 7), ("q", "dense_hyde", 2, "c", 0.1, 9))
+    got = {r["chunk_id"]: r for r in fusion.rrf(rows).collect()}
+    assert (got["a"]["dense_score"], got["a"]["dense_rank"], got["a"]["lexical_rank"]) == (0.9, 4, None)
+    assert (got["b"]["dense_score"], got["b"]["dense_rank"], got["b"]["lexical_score"], got["b"]["lexical_rank"]) == (0.8, 2, 3.0, 7)
+    assert got["c"]["dense_rank"] == 9
+
 
+def bm25_top(chunks, asked, k, tmp_path):
+    return bm25.top_k(bm25.ensure(chunks, f"file://{tmp_path}/bm25"), asked, k)
 
-def test_bm25_tiny_corpus_has_no_hits(spark):
+
+def test_bm25_tiny_corpus_has_no_hits(spark, tmp_path):
     chunks = spark.createDataFrame([("a", "bm25 lexical scoring"), ("b", "hnsw graph search")], "chunk_id string, text string")
     asked = spark.createDataFrame([("q", "bm25")], "qid string, question string")
-    assert bm25.top_k(chunks, asked, 5).count() == 0
+    assert bm25_top(chunks, asked, 5, tmp_path).count() == 0
+    assert bm25_top(chunks.where("false"), asked, 5, tmp_path).count() == 0
+
+
+def test_bm25_index_is_found_again_and_broken_ones_are_not(spark, tmp_path):
+    where = f"file://{tmp_path}/bm25"
+    chunks = spark.createDataFrame([(f"c{i}", f"word{i % 3} common") for i in range(9)], "chunk_id string, text string")
+    first = bm25.ensure(chunks, where)
+    unread = chunks.withColumn("text", F.raise_error(F.lit("the text was read")).cast("string"))
+    again = bm25.ensure(unread, where)
+    asked = spark.createDataFrame([("q", "word1")], "qid string, question string")
+    assert sorted(map(tuple, bm25.top_k(again, asked, 3).collect())) == sorted(map(tuple, bm25.top_k(first, asked, 3).collect())) != []
+    with pytest.raises(Exception, match="the text was read"):
+        bm25.ensure(unread.where("chunk_id != 'c0'"), where)
+    name, n_terms = bm25.key(chunks), first.weights.count()
+    shutil.rmtree(tmp_path / "bm25" / name / "weights")
+    assert bm25.load(spark, where, name) is None
+    assert bm25.ensure(chunks, where).weights.count() == n_terms
 
 
 def reference_bm25(texts, query, k1=1.5, b=0.75, eps=0.25):
@@ -55,13 +104,14 @@ def reference_bm25(texts, query, k1=1.5, b=0.75, eps=0.25):
     return {i: sum(idf.get(t, 0) * d.count(t) * (k1 + 1) / (d.count(t) + k1 * (1 - b + b * len(d) / mean)) for t in query.split()) for i, d in docs.items()}
 
 
-def test_bm25_against_brute_force(spark, monkeypatch):
+def test_bm25_against_brute_force(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(ranking, "BLOCK", 1)
+    monkeypatch.setattr(bm25, "ENTRIES", 1)
     texts = {f"c{i}": " ".join(w for j, w in enumerate("alpha beta gamma delta common".split()) if (i * 7 + j * 3) % 4 or w == "common") * (1 + i % 2) for i in range(12)}
     texts["c12"], texts["c13"] = "", "common"
     chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
     asked = spark.createDataFrame([("q1", "alpha common common"), ("q2", "delta nothing"), ("q3", "")], "qid string, question string")
-    got = bm25.top_k(chunks, asked, 4).collect()
+    got = bm25_top(chunks, asked, 4, tmp_path).collect()
     plain = {i: " ".join(re.findall("[a-z0-9]+", t)) for i, t in texts.items()}
     for qid, q in (("q1", "alpha common common"), ("q2", "delta nothing")):
         scores = {i: round(x, 9) for i, x in reference_bm25(plain, q).items() if x > 1e-9}
@@ -83,6 +133,21 @@ def test_dense_ties_zero_and_width(spark):
     assert dense.top_k(rows, asked.where("false"), 3, 2).count() == 0
 
 
+def test_best_rows_of_a_stream_against_brute_force():
+    rng = np.random.default_rng(2)
+    names = np.array([f"n{i:04d}" for i in rng.permutation(3000)], object)
+    scores = rng.integers(-3, 4, size=(3000, 7)) / 4.0  # many ties
+    for floor in (None, 0.0):
+        best = ranking.Best(7, 5, floor)
+        for s in range(0, 3000, 97):
+            best.add(names[s : s + 97], scores[s : s + 97])
+        query, name, value = best.rows()
+        for q in range(7):
+            expected = sorted((-x, n) for x, n in zip(scores[:, q], names) if floor is None or x > floor)[:5]
+            assert sorted(zip((-value[query == q]).tolist(), name[query == q].tolist())) == expected
+        assert len(best.query) == 35
+
+
 def test_rerank_cache_and_movement(spark):
     short = spark.createDataFrame([("q", "x", 1, "red fox", "a b c"), ("q", "y", 2, "red fox", "fox red")], "qid string, chunk_id string, fused_rank int, question string, text string")
     got = {r["chunk_id"]: r for r in rerank.rerank(short, 5).collect()}
@@ -100,6 +165,10 @@ def test_filters(spark):
     docs = spark.createDataFrame([(1, {"k": "v"}), (2, {"k": "v"})], "doc_id int, metadata map<string,string>")
     assert {r["chunk_id"] for r in filters.filter_chunks(chunks, docs, {"k": "v"}).collect()} == {"a", "b"}
     assert filters.page(chunks, "chunk_id", 2, 9).count() == 0
+    assert [(r["chunk_id"], r["total"]) for r in filters.page(chunks, "chunk_id", 2, 1).collect()] == [("b", 3), ("c", 3)]
+    many = spark.createDataFrame([("j", 1, {"a": '["x", "y"]'}), ("t", 1, {"a": "x; yy"}), ("s", 2, {"a": "x"}), ("n", 2, {"a": None}), ("b", 2, {"a": "[not json"}), ("m", 3, None)], chunks.schema)
+    found = lambda **k: {r["chunk_id"] for r in filters.filter_chunks(many, None, {"a": "x"}, **k).collect()}
+    assert found() == {"j", "s"} and found(lists={"a": "; "}) == {"t", "s"}
 
 
 def results(spark, *rows):
@@ -119,8 +188,8 @@ def test_answers_and_grounding(spark):
     sources = spark.createDataFrame([("q", 1, "c1", "Foxes are red animals in the forest. Short one."), ("q", 2, "c2", "Whales swim through very deep oceans.")], "qid string, source_no int, chunk_id string, text string")
     asked = spark.createDataFrame([("q", "red foxes forest"), ("none", "x")], "qid string, question string")
     got = {r["qid"]: r["answer"] for r in answer.extractive(sources, asked, take=1).collect()}
-    assert got == {"q": "Foxes are red animals in the forest. [1]", "none": answer.INSUFFICIENT}
-    said = spark.createDataFrame([("q", "Foxes are red animals in the forest. [1]"), ("bad", "Claims. [7]"), ("no", answer.INSUFFICIENT), ("empty", "")], "qid string, answer string")
+    assert got == {"q": "Foxes are red animals in the forest. [1]", "none": answer.DECLINED}
+    said = spark.createDataFrame([("q", "Foxes are red animals in the forest. [1]"), ("bad", "Claims. [7]"), ("no", answer.DECLINED), ("empty", "")], "qid string, answer string")
     g = {r["qid"]: r for r in answer.grounding(said, sources).collect()}
     assert g["q"]["grounded"] and g["no"]["grounded"] and not g["bad"]["grounded"] and not g["empty"]["grounded"]
     assert g["bad"]["n_unresolved"] == 1 and g["no"]["n_sentences"] == 0
@@ -172,12 +241,60 @@ def docs_of(spark, **texts):
 
 
 def test_fixed_windows(spark):
-    assert chunking.windows(10, 4, 2) == [(0, 4), (2, 6), (4, 8), (6, 10)]
-    assert chunking.windows(0, 4, 2) == [] and chunking.windows(3, 4, 2) == [(0, 3)]
+    assert chunking.window_starts(10, 4, 2).tolist() == [0, 2, 4, 6] and chunking.window_starts(8, 4, 2).tolist() == [0, 2, 4]
+    assert chunking.window_starts(0, 4, 2).tolist() == [] and chunking.window_starts(3, 4, 2).tolist() == [0]
     got = chunking.fixed_token(docs_of(spark, d="a bb  ccc\nd e", n=None, e="  "), 3, 1).orderBy("start_char").collect()
     assert [(r["text"], r["start_char"], r["end_char"], r["token_count"]) for r in got] == [("a bb  ccc", 0, 9, 3), ("ccc\nd e", 6, 13, 3)]
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(0, 0), (-1, 0), (4, 4), (4, 9), (4, -1)])
+def test_sizes_that_cannot_work_are_refused(spark, size, overlap):
+    df = docs_of(spark, d="a b c d e f")
+    with pytest.raises(ConfigError):
+        chunking.fixed_token(df, size, overlap)
+    with pytest.raises(Exception, match="chunk (size|overlap)"):  # from a table, where the rows are met
+        chunking.fixed_token(df, F.lit(size), F.lit(overlap)).collect()
+    with pytest.raises(ConfigError):
+        chunking.chunker("fixed_token", size, overlap)
+
+
+def test_chunker_by_name(spark):
+    for name, embedder in (("semantic", None), ("other", HashEmbedder())):
+        with pytest.raises(ConfigError):
+            chunking.chunker(name, embedder=embedder)
+    df = docs_of(spark, d="One two. Three four.")
+    for name in ("semantic", "fixed_token", "recursive_structural"):
+        assert [r["text"] for r in chunking.chunker(name, 50, 0, HashEmbedder())(df).collect()] == ["One two. Three four."]
+
+
+@given(st.text(alphabet=st.sampled_from("ab .!?\n\t# \r\u00a0\u2028é😀"), max_size=300), st.integers(1, 20))
+@settings(max_examples=200, deadline=None)
+def test_chunks_cover_the_text(text, size):
+    words = text.split()
+    for tokenizer in (None, chunking.ApproximateTokenizer()):
+        one = chunking.layout(text, tokenizer)
+        for pieces in (chunking.fixed(one, size, 0), chunking.structural(one, size)):
+            rows = list(chunking.capped(one, pieces, size))
+            assert all(n <= size and text[s:e] == text[s:e].strip() != "" for s, e, n, _ in rows)
+            assert len({s for s, *_ in rows}) == len(rows) and rows == sorted(rows)
+            if tokenizer is None:
+                assert [w for s, e, *_ in rows for w in text[s:e].split()] == words
+            else:
+                assert "".join("".join(text[s:e].split()) for s, e, *_ in rows) == "".join(words)
+
+
+def test_tokenizer_plug_ins(spark):
+    got = chunking.fixed_token(docs_of(spark, d="don't stop, ever"), 3, 0, chunking.ApproximateTokenizer()).orderBy("start_char").collect()
+    assert [(r["text"], r["token_count"]) for r in got] == [("don't", 3), ("stop, ever", 3)]
+    assert chunking.ApproximateTokenizer().spans("a_1 é,²b") == [(0, 3), (4, 5), (5, 6), (6, 8)]
+
+
+def test_headings_end_sections(spark):
+    text = "### Deep\n\nx\n\n####### no heading\n# A #\nb\n\n#no\n"
+    got = chunking.recursive_structural(docs_of(spark, d=text), 50).orderBy("start_char").collect()
+    assert [(r["section_path"], r["text"]) for r in got] == [(["Deep"], "### Deep\n\nx\n\n####### no heading"), (["A #"], "# A #\nb\n\n#no")]
+
+
 def test_structural_sections(spark):
     text = "# A\n\nintro\n\n## B\n\none two\n\n# C\n\nlast 😀 one\n"
     got = chunking.recursive_structural(docs_of(spark, d=text), 50).orderBy("start_char").collect()
@@ -200,10 +317,12 @@ def test_semantic(spark):
 
 
 def test_store(spark, tmp_path):
-    c = store.Collection(spark, str(tmp_path), "m", 2)
+    c = store.Collection(spark, f"file://{tmp_path}/c", "m", 2)
+    with pytest.raises(store.StoreError):
+        c.read("documents")
     c.ensure()
     with pytest.raises(store.StoreError):
-        store.Collection(spark, str(tmp_path), "other", 2).ensure()
+        store.Collection(spark, f"file://{tmp_path}/c", "other", 2).ensure()
     docs = spark.createDataFrame([("a", "h1"), ("b", "h2")], "doc_id string, content_hash string")
     chunks = spark.createDataFrame([("a0", "a", [1.0, 0.0]), ("b0", "b", [1.0, 0.0])], "chunk_id string, doc_id string, embedding array<double>")
     c.upsert(docs, chunks)
@@ -212,10 +331,79 @@ def test_store(spark, tmp_path):
     assert store.changes(new, c.documents.read()).where("doc_id = 'b'").first()["status"] == "changed"
     c.upsert(new, spark.createDataFrame([("c0", "c", [0.0, 1.0])], "chunk_id string, doc_id string, embedding array<double>"))
     assert {r["chunk_id"] for r in c.chunks.read().collect()} == {"a0", "c0"}  # b lost its chunks
+    assert c.info().first()["chunk_count"] == 2
     assert c.delete(spark.createDataFrame([("b",), ("x",)], "doc_id string")) == (1, 0)
     assert {r["doc_id"] for r in c.documents.read().collect()} == {"a", "c"}
     with pytest.raises(Exception, match="width"):
         c.upsert(new, spark.createDataFrame([("c0", "c", [0.0])], "chunk_id string, doc_id string, embedding array<double>"))
+    assert {r["chunk_id"] for r in c.chunks.read().collect()} == {"a0", "c0"}
+
+
+def test_a_write_that_stops_half_way_loses_nothing(spark, tmp_path, monkeypatch):
+    c = store.Collection(spark, f"file://{tmp_path}/c", "m", 1)
+    c.ensure()
+    rows = lambda *ids: (spark.createDataFrame([(i, "h") for i in ids], "doc_id string, content_hash string"), spark.createDataFrame([(i + "0", i, [1.0]) for i in ids], "chunk_id string, doc_id string, embedding array<double>"))
+    c.upsert(*rows(*[f"d{i}" for i in range(60)]))
+    before = c.documents.version()
+
+    def stop(state):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(c, "_commit", stop)
+        with pytest.raises(KeyboardInterrupt):
+            c.upsert(*rows("d1", "new"))
+    assert c.documents.version() == before and c.documents.read().count() == c.chunks.read().count() == 60
+    state = c.current()
+    c.upsert(*rows("d1", "new"))
+    assert c.documents.read().count() == c.chunks.read().count() == 61
+    same = {b for b, f in c.current()["parts"]["chunks"].items() if state["parts"]["chunks"].get(b) == f}
+    assert len(same) >= 20  # parts without a changed document were not written again
+    with pytest.raises(store.StoreError):
+        c._commit(state | {"number": c.documents.version()})  # a second writer
+
+
+def test_answers_of_a_model_or_extraction(spark):
+    class Echo:
+        """A model that answers from its prompt, says nothing to some, and fails on others."""
+
+        name = "echo"
+
+        def complete(self, prompts):
+            if any("fail" in p for p in prompts):
+                raise OSError("unavailable")
+            return ["" if "silent" in p else "Foxes are red. [1] [1] [5]" for p in prompts]
+
+    given = [("q", "x", 0.9, 0.9, 1, "Foxes are red animals in the forest."), ("silent", "x", 0.9, 0.9, 1, "Foxes are red animals in the forest."), ("fail", "x", 0.9, 0.9, 1, "Foxes are red animals in the forest."), ("weak", "x", 0.1, 0.1, 1, "Nothing much to say about it here.")]
+    found = spark.createDataFrame(given, "qid string, chunk_id string, score double, rerank_score double, final_rank int, text string")
+    asked = spark.createDataFrame([("q", "red foxes"), ("silent", "silent foxes"), ("fail", "fail foxes"), ("weak", "?"), ("none", "?")], "qid string, question string").repartition(5, "qid")
+    got = {r["qid"]: r for r in retrieval.respond(found, asked, generator=Echo()).collect()}
+    assert {q: r["answer_type"] for q, r in got.items()} == {"q": "generated", "silent": "extractive", "fail": "extractive", "weak": "refused", "none": "refused"}
+    assert [(c["marker"], c["chunk_id"], c["resolved"]) for c in got["q"]["citations"]] == [(1, "x", True), (5, None, False)] and not got["q"]["grounded"]
+    assert got["weak"]["answer"].startswith(answer.REFUSED) and got["weak"]["grounded"] and got["weak"]["citations"] == [] and len(got["weak"]["sources"]) == 1 and got["none"]["sources"] == []
+
+
+def test_whole_prompts(spark):
+    sources = spark.createDataFrame([("q", 2, "B", " two "), ("q", 1, "A > a", "one")], "qid string, source_no int, label string, text string")
+    got = {r["qid"]: r["prompt"] for r in answer.prompt(sources, spark.createDataFrame([("q", " why? "), ("n", "x")], "qid string, question string")).collect()}
+    assert got["q"] == f"{answer.RULES}\n\nSources:\n[1] (A > a) one\n\n[2] (B) two\n\nQuestion: why?\n\nAnswer:" and "(no sources retrieved)" in got["n"]
+
+
+def test_run_metrics_and_latency_of_stages(spark):
+    rows = [("a", "factual", 1.0, False, True, 0.5, 0.8), ("b", "factual", 0.0, True, True, 0.0, None), ("c", "negative", 0.0, True, True, 0.0, None), ("d", None, 0.5, False, False, 1.0, 0.4)]
+    df = spark.createDataFrame(rows, "qid string, category string, recall double, refused boolean, grounded boolean, citation_precision double, answer_similarity double")
+    r = evaluate.run_metrics(df.withColumns({m: F.col("recall") for m in ("precision", "hit", "rr", "ndcg")})).first()
+    assert (r["n"], r["recall"], r["citation_precision"], r["answer_similarity"]) == (4, 0.5, 0.5, 0.6)
+    assert (r["refusal_accuracy"], r["grounded_rate"], r["false_refusal_rate"]) == (1.0, round(2 / 3, 9), round(1 / 3, 9))
+    said = evaluate.answer_similarity(spark.createDataFrame([("a", "red fox"), ("b", " ")], "qid string, answer string"), spark.createDataFrame([("a", "red fox"), ("b", "x")], "qid string, answer string")).collect()
+    assert [tuple(x) for x in said] == [("a", 1.0)]
+    times = {x["stage"]: x for x in evaluate.stage_latency(spark.createDataFrame([(1.0, 5.0), (3.0, None)], "dense_ms double, total_ms double")).collect()}
+    assert set(times) == set(evaluate.STAGES) and (times["dense"]["max"], times["total"]["n"], times["rerank"]["p95"]) == (3.0, 1, 0.0)
+
+
+def test_one_whole_row_per_key(spark):
+    df = spark.createDataFrame([("k", 1, "z", "old"), ("k", 2, "a", None), ("k", 2, "a", "b"), (None, 1, "x", "y")], "key string, at int, x string, y string")
+    assert sorted(map(str, evaluate.one_row(df, "key", "at").collect())) == ["Row(key='k', at=2, x='a', y='b')", "Row(key=None, at=1, x='x', y='y')"]
 
 
 def test_retrieve_end_to_end(spark):
@@ -224,6 +412,15 @@ def test_retrieve_end_to_end(spark):
     for config in (RetrievalConfig(), RetrievalConfig(use_rerank=False), RetrievalConfig(use_lexical=False, use_rerank=False), RetrievalConfig(fusion="weighted", use_rerank=False)):
         best = {r["qid"]: r["chunk_id"] for r in retrieval.retrieve(chunks, asked, config).where("final_rank = 1").collect()}
         assert best == {"q": "c1", "m": "c3"}
+    passages = spark.createDataFrame([("q", "rerankers read pairs of texts")], "qid string, passage string")
+    hyde = retrieval.retrieve(chunks, asked, RetrievalConfig(expansion="hyde", use_rerank=False), passages=passages)
+    assert "c2" in {r["chunk_id"] for r in hyde.where("qid = 'q' AND dense_rank <= 2").collect()} or hyde.count() == 8
+    plain = retrieval.retrieve(chunks, asked, RetrievalConfig(use_rerank=False))
+    for unexpanded in ("hyde", "multi_query"):  # nothing was made by a model: searched as they are
+        assert sorted(map(str, retrieval.retrieve(chunks, asked, RetrievalConfig(expansion=unexpanded, use_rerank=False)).collect())) == sorted(map(str, plain.collect()))
+    tagged = chunks.withColumn("metadata", F.create_map(F.lit("kind"), F.when(F.col("chunk_id") == "c3", "b").otherwise("a")))
+    few = retrieval.retrieve(tagged, asked, RetrievalConfig(use_rerank=False), filters={"kind": "b"}).collect()
+    assert {r["chunk_id"] for r in few} == {"c3"} and {r["lexical_rank"] for r in few} == {1, None}
     said = retrieval.respond(retrieval.retrieve(chunks, asked), asked).collect()
     assert {r["qid"]: r["refused"] for r in said} == {"q": False, "m": False}
     labels = {r["config"] for r in retrieval.ablate(chunks, asked, [RetrievalConfig(), RetrievalConfig(expansion="hyde"), RetrievalConfig(use_dense=False)]).collect()}
