@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwick.config import RetrievalConfig, Settings
 from tarnwick.functions import ids, text
 from tarnwick.functions.embedding import HashEmbedder, embed
-from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
+from tarnwick.operators import ann, answer, bm25, chunking, dense, evaluate, filters, fusion, rerank, store
 from tarnwick.plans import retrieval
 from tarnwick.plans.sql import SQL
 from tarnwick.runtime import once, shared_dir, stage
@@ -70,6 +70,13 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     return dense.top_k(rows.where("label = 3"), asked, 10, 64)
 
 
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of the stated queries by the approximate index: a quarter of its lists are probed."""
+    rows, asked = _vectors(spark, d)
+    index = ann.build(rows, 64, lists=16)
+    return ann.search(index, asked, 10, 4)
+
+
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "metadata")
     wanted = {"title": "Notes on the seasonal passage"}
@@ -474,7 +481,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMED: list[Query] = [
-    bm25_stats, bm25_topk, dense_topk, dense_filtered, metadata_filter, list_filter, document_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, hybrid_filtered, debug_trail, rerank_overlap, rerank_all,
+    bm25_stats, bm25_topk, dense_topk, dense_filtered, ann_topk, metadata_filter, list_filter, document_filter, hash_embed, rrf, weighted_fusion, candidate_counts, hybrid, hybrid_filtered, debug_trail, rerank_overlap, rerank_all,
     refusal, relevance, retrieval_metrics, breakdowns, latency_percentiles, latency_stages, golden_counts, golden_validate, sentences, extractive, extractive_all, citations,
     sentence_grounding, grounding, answers, prompts, prompts_all, citation_precision, evaluation, ablation, ablation_hits, multi_query, score_cache, score_cache_default, cache_report,
     fixed_chunks, structural_chunks, semantic_groups, semantic_chunks, chunk_ids, fingerprints, document_titles, change_detection, upsert_state, delete_state, list_documents, count_chunks,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -10,7 +12,7 @@ from tarnwick.functions.embedding import Embedder, HashEmbedder, embed
 from tarnwick.operators import chunking
 from tarnwick.operators.store import Collection, changes
 from tarnwick.runtime import stage, unstage
-from tarnwick.sources.files import SUFFIXES, parse
+from tarnwick.sources.files import SUFFIXES, UnsupportedFormatError, parse
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -44,3 +46,25 @@ def watch(spark: SparkSession, directory: str, collection: Collection, checkpoin
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(directory)
     wanted = files.where(F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).isin(*SUFFIXES)).select("path", "content")
     return wanted.writeStream.foreachBatch(lambda df, _: unstage(ingest(collection, df, size, strategy=strategy))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# Fixed value: the largest upload.
+UPLOAD_BYTES = 25 << 20
+
+
+def upload(collection: Collection, name: str, content: bytes, size: int = 512) -> DataFrame:
+    """Ingest one uploaded file; one of an unknown kind, or too large, is refused."""
+    suffix = PurePosixPath(name).suffix.lower()
+    if suffix not in SUFFIXES:
+        raise UnsupportedFormatError(f"unsupported format {suffix!r}")
+    if len(content) > UPLOAD_BYTES:
+        raise ValueError(f"{name!r} has {len(content)} bytes; {UPLOAD_BYTES} are allowed")
+    raw = collection.spark.createDataFrame([(PurePosixPath(name).name, bytearray(content))], "path string, content binary")
+    return ingest(collection, raw, size)
+
+
+def replay(answers: DataFrame) -> DataFrame:
+    """qid, position, event, data: finished answers as a stream of words, each closed by ``done``."""
+    words = answers.select("qid", F.posexplode(F.split("answer", " ")).alias("position", "data")).withColumn("event", F.lit("token"))
+    ends = answers.select("qid", F.size(F.split("answer", " ")).alias("position"), F.lit("").alias("data"), F.lit("done").alias("event"))
+    return words.unionByName(ends).select("qid", "position", "event", "data")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.config import ConfigError, RetrievalConfig
 from tarnwick.functions.embedding import HashEmbedder
-from tarnwick.operators import answer, bm25, chunking, dense, evaluate, filters, fusion, ranking, rerank, store
+from tarnwick.operators import ann, answer, bm25, chunking, dense, evaluate, filters, fusion, ranking, rerank, store
 from tarnwick.plans import retrieval
 
 
@@ -148,6 +148,22 @@ def test_best_rows_of_a_stream_against_brute_force():
         assert len(best.query) == 35
 
 
+def test_approximate_search_probes_lists(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8)) + 3 * rng.normal(size=(12, 8))[rng.integers(12, size=900)]
+    rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    bad = [("z", [0.0] * 8), ("n", None), ("s", [1.0]), ("nan", [float("nan")] * 8)]
+    df = spark.createDataFrame(rows + rows[:20] + bad, "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", v) for i, (_, v) in enumerate(rows[:40])] + [("zero", [0.0] * 8)], "qid string, embedding array<double>")
+    index = ann.build(df, 8, lists=12)
+    assert index.rows.count() == 900 and len(index.centres) == 12
+    whole = ann.search(index, asked, 5, 12).collect()  # all lists: exact
+    true = dense.top_k(df.where("chunk_id NOT IN ('z', 'nan')").dropDuplicates(["chunk_id"]), asked, 5, 8).collect()
+    assert sorted((r["qid"], r["chunk_id"], r["rank"]) for r in whole) == sorted((r["qid"], r["chunk_id"], r["rank"]) for r in true)
+    assert ann.recall(index, asked, 5, 12) == 1.0 and 0.9 <= ann.recall(index, asked, 5, 4) <= 1.0 and ann.recall(index, asked, 5, 1) < 1.0
+    assert ann.search(ann.build(df.where("false"), 8), asked, 5, 3).count() == 0 and ann.search(index, asked.where("false"), 5, 3).count() == 0
+
+
 def test_rerank_cache_and_movement(spark):
     short = spark.createDataFrame([("q", "x", 1, "red fox", "a b c"), ("q", "y", 2, "red fox", "fox red")], "qid string, chunk_id string, fused_rank int, question string, text string")
     got = {r["chunk_id"]: r for r in rerank.rerank(short, 5).collect()}

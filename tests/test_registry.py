@@ -32,7 +32,7 @@ HELD = sorted(registry.oracle_sql())
 #: Queries that SQL can't well express; their operators have tests of their own.
 OTHERS = {
     "ablation": {"config", "n", "recall", "precision", "hit", "rr", "ndcg"}, "ablation_hits": {"config", "qid", "chunk_id", "score", "rerank_score", "final_rank"}, "html_blocks": {"doc_id", "block_no", "tag", "block"},
-    "html_markdown": {"doc_id", "markdown"}, "structural_chunks": {"chunk_id", "text", "section_path"}, "semantic_chunks": {"chunk_id", "text", "token_count"}, "token_bucket": {"user_id", "event_id", "allowed", "tokens"},
+    "html_markdown": {"doc_id", "markdown"}, "structural_chunks": {"chunk_id", "text", "section_path"}, "semantic_chunks": {"chunk_id", "text", "token_count"}, "ann_topk": {"qid", "chunk_id", "score", "rank"}, "token_bucket": {"user_id", "event_id", "allowed", "tokens"},
 }
 
 
