@@ -44,20 +44,23 @@ class Best:
     def __init__(self, n_queries: int, k: int, floor: float | None = None):
         self.k, self.limit = k, 4 * k * n_queries + ROWS
         self.least = np.full(n_queries, -np.inf if floor is None else np.nextafter(floor, np.inf))
+        self.full = np.zeros(n_queries, bool)
         self.query, self.score, self.name = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
 
     def add(self, names: np.ndarray, scores: np.ndarray) -> None:
         """``scores``: rows x queries."""
-        scores = np.round(scores, DIGITS)
-        if len(scores) > 2 * self.k:  # no row below the k-th of this batch alone can stay
+        # Rounding comes last, for the few that may stay; until then, what is short of the least by less than it may be passes.
+        bound = np.where(self.full, self.least - 10.0**-DIGITS, self.least)
+        row, query = np.nonzero(scores >= bound)
+        if len(row) > self.limit and len(scores) > 2 * self.k:  # no row below the k-th of this batch alone can stay
             at = len(scores) - self.k
-            least = np.maximum(self.least, np.partition(scores, at, axis=0)[at])
-        else:
-            least = self.least
-        row, query = np.nonzero(scores >= least)
-        self.query = np.concatenate([self.query, query])
-        self.score = np.concatenate([self.score, scores[row, query]])
-        self.name = np.concatenate([self.name, names[row]])
+            bound = np.maximum(bound, np.partition(scores, at, axis=0)[at] - 10.0**-DIGITS)
+            row, query = np.nonzero(scores >= bound)
+        score = np.round(scores[row, query], DIGITS)
+        kept = score >= self.least[query]
+        self.query = np.concatenate([self.query, query[kept]])
+        self.score = np.concatenate([self.score, score[kept]])
+        self.name = np.concatenate([self.name, names[row[kept]]])
         if len(self.query) > self.limit:
             self._prune()
 
@@ -69,6 +72,7 @@ class Best:
         nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
         kept = order[nth < self.k]
         last = order[nth == self.k - 1]
+        self.full[self.query[last]] = True
         self.least[self.query[last]] = np.maximum(self.least[self.query[last]], self.score[last])
         self.query, self.score, self.name = self.query[kept], self.score[kept], self.name[kept]
 
