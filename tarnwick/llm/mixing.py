@@ -31,7 +31,6 @@ from pyspark.sql.window import Window
 
 #: Tokens that the dynamic program fits exactly; above it lengths are taken greedily.
 FIT = 1 << 14
-BUCKETS = 4096
 
 FITTED = T.StructType(
     [
