@@ -54,11 +54,6 @@ def tokenised(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> D
     return src.mapInArrow(count, DOCS)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, dl."""
-    return docs.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("p.terms", "chunk_id", "p.counts", "dl").toDF("term", "chunk_id", "tf", "dl")
-
-
 def idf(docs: DataFrame) -> DataFrame:
     """term, df, idf with the floor applied."""
     size = docs.agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ from tarnwick.runtime import stage
 #: Queries that a worker holds at once; larger query sets are answered in several blocks.
 BLOCK = 4096
 #: Rows of the corpus that are scored at once.
-ROWS = 512
+ROWS = 128
 DIGITS = 9
 
 
@@ -42,7 +42,7 @@ class Best:
     """
 
     def __init__(self, n_queries: int, k: int, floor: float | None = None):
-        self.k, self.limit = k, 4 * k * n_queries + ROWS
+        self.k, self.limit = k, 2 * k * n_queries + ROWS
         self.least = np.full(n_queries, -np.inf if floor is None else np.nextafter(floor, np.inf))
         self.full = np.zeros(n_queries, bool)
         self.query, self.score, self.name = np.empty(0, np.int64), np.empty(0), np.empty(0, object)

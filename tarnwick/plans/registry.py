@@ -316,7 +316,7 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.run_metrics(rows)
 
 
-#: The reference's matrix without the two rows that need a language model, and weighted fusion without reranking.
+#: The evaluation matrix without the two rows that need a language model, and weighted fusion without reranking.
 ABLATION = [
     RetrievalConfig(use_lexical=False, use_rerank=False), RetrievalConfig(use_dense=False, use_rerank=False), RetrievalConfig(use_rerank=False), RetrievalConfig(),
     RetrievalConfig(fusion="weighted"), RetrievalConfig(chunk_strategy="fixed_token"), RetrievalConfig(chunk_strategy="semantic"), RetrievalConfig(fusion="weighted", use_rerank=False),

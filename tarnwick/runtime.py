@@ -122,8 +122,11 @@ def once(spark: SparkSession, name: str, sources: list[str], make: Callable[[],
         seen += [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in found]
     made = spark.sparkContext.__dict__.setdefault("_tarnwick_once", {})
     key = tuple(seen)
-    if key not in made:
-        made[key] = stage(make())
+    if key in made:
+        where, files = hadoop_path(spark, made[key]._staged_path)
+        if files.exists(where):
+            return made[key]
+    made[key] = stage(make())
     return made[key]
 
 
