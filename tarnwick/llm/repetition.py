@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,6 +152,14 @@ def repetition(df: DataFrame, doc_id: str, text: str, window: int = 8, cutoffs:
     )
 
 
+def reaches(cutoffs: list[dict]) -> Column:
+    """Whether the estimate of a row of :func:`repetition` reaches the cutoff of its stratum; without one it does."""
+    least = F.lit(0.0)
+    for c in cutoffs:
+        least = F.when(F.col("stratum") == c["stratum"], F.lit(c["cutoff"])).otherwise(least)
+    return F.col("estimate") >= least
+
+
 def upper_bound(errors: int, n: int, level: float) -> float:
     """Exact binomial upper bound: the rate at which ``errors`` or fewer of ``n`` have probability ``level``."""
     if n == 0 or errors >= n:

@@ -107,6 +107,12 @@ def test_cutoffs_decide_what_is_found(spark, monkeypatch):
     assert queries.p8_found(spark, SF).count() == 0
 
 
+def test_cutoffs_are_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(queries, "P8_HOLDOUT", 5, raising=False)  # a bound on labelled documents, if there is one
+    cases = queries.p8_shares(spark, SF).where("share >= 0.30").count()
+    assert sum(r["n_cases"] for r in queries.p8_cutoffs(spark, SF).collect()) == cases > 0
+
+
 def test_fill():
     rng = random.Random(2)
     for _ in range(200):
