@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,10 +52,12 @@ def embed(text: Column, embedder: Embedder | None = None, batch: int = 256) -> C
     """Vectors of a text column as ARRAY<DOUBLE>, batch by batch in Arrow; a model loads once per worker."""
     model = embedder or HashEmbedder()
 
-    @F.pandas_udf("array<double>")
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in series:
-            texts = s.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(texts), batch) for v in model.embed(texts[i : i + batch])], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            texts = [t or "" for t in a.to_pylist()]
+            made = [np.asarray(model.embed(texts[i : i + batch]), float) for i in range(0, len(texts), batch)]
+            flat = np.concatenate(made) if made else np.zeros((0, 0))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
     return run(text)

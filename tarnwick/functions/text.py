@@ -1,7 +1,9 @@
-"""Text expressions; all stay in the JVM."""
+"""Text expressions; all stay in the JVM.  Patterns are of both."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ SENTENCE_STOP = ".!?"
 SENTENCE_GAP = " \t\n"
 SENTENCE_BREAK = r"(?<=[.!?])[ \t]*\n+|(?<=[.!?])[ \t]+"
 CITATION = r"\[(\d{1,3})\]"
+#: A lexical term of a lower-cased text.
+TERM = re.compile("[a-z0-9]+")
 
 
 def terms(text: Column) -> Column:
     """Lexical terms: runs of ASCII letters and digits of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM.pattern), 0)
 
 
 def strip(text: Column) -> Column:
@@ -58,7 +62,10 @@ def overlaps(hay: Column, needle: Column, width: int = 50) -> Column:
     Both are to be columns squashed beforehand: inside a lambda they would be squashed for every window.
     """
     windows = F.sequence(F.lit(1), F.greatest(F.length(needle) - (width - 1), F.lit(1)))
-    part = F.exists(windows, lambda i: hay.contains(needle.substr(i, F.lit(width))))
+    # Every window holds one of the blocks of half its width side by side; so few that are none of them are cut out at all.
+    half = max(1, width // 2)
+    blocks = F.sequence(F.lit(1), F.greatest(F.length(needle) - (half - 1), F.lit(1)), F.lit(half))
+    part = F.exists(blocks, lambda i: hay.contains(needle.substr(i, F.lit(half)))) & F.exists(windows, lambda i: hay.contains(needle.substr(i, F.lit(width))))
     return (F.length(hay) > 0) & (F.length(needle) > 0) & (hay.contains(needle) | ((F.length(needle) >= width) & part))
 
 

@@ -3,8 +3,9 @@
 The index is sharded by documents: a row per chunk with its terms and their counts, made from
 the text once, and a table of the terms with their weights.  It is stored under a key of the
 chunk ids and found again by it.  A search reads no text: each partition of the index meets
-the terms that a block of queries asks for, adds up what matching terms give, and keeps its k
-best, so no term is hot and no pair of query and chunk leaves its partition but those k.
+the terms that a block of queries asks for and keeps its k best of each, so no term is hot and
+no pair of query and chunk leaves its partition but those k.  Of a query's terms, those that
+together can't lift a chunk to the k best are added up only where the others leave it a chance.
 
 idf(t) = ln(N - df + 0.5) - ln(df + 0.5); where that is negative, epsilon times the
 mean idf over all terms takes its place.  A chunk without terms has one sentinel
@@ -19,12 +20,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.functions.text import terms
-from tarnwick.operators.ranking import blocked_top_k, query_blocks
+from tarnwick.functions.text import TERM, terms
+from tarnwick.operators.ranking import GROUP, Best, blocked_top_k, kth, query_blocks
 from tarnwick.runtime import hadoop_path, shared_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -42,12 +44,11 @@ class Index(NamedTuple):
 
 def tokenised(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> DataFrame:
     """chunk_id, terms, counts, dl."""
-    t = terms(F.col(text))
-    src = chunks.select(F.col(id_).cast("string").alias("chunk_id"), F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(SENTINEL))).alias("terms"))
+    src = chunks.select(F.col(id_).cast("string").alias("chunk_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [Counter(t) for t in b.column("terms").to_pylist()]
+            found = [Counter(TERM.findall(t) or [SENTINEL]) for t in b.column("text").to_pylist()]
             arrays = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([c.total() for c in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), *arrays], names=["chunk_id", "terms", "counts", "dl"])
 
@@ -124,31 +125,81 @@ def _blocks(index: Index, asked: DataFrame) -> Iterator[tuple[list[str], tuple]]
             used = sorted({t for c in own for t in c})
             wanted = spark.createDataFrame([(t,) for t in used], "term string")
             value = dict(index.weights.join(F.broadcast(wanted), "term").select("term", "idf").collect()) if used else {}  # at most ENTRIES terms
-            asks: dict[str, list[tuple[int, float]]] = {t: [] for t in value}
-            for q, c in enumerate(own):
-                for t, m in c.items():
-                    if t in value:
-                        asks[t].append((q, m * value[t]))
-            table = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in asks.items()}
-            yield qids[begin:end], (table, index.mean, end - begin)
+            number = {t: i for i, t in enumerate(value)}
+            asks = [[(number[t], m * value[t]) for t, m in c.items() if t in number] for c in own]
+            yield qids[begin:end], (list(number), asks, index.mean)
             begin = end
 
 
-def _score(table: pa.Table, payload: tuple[dict[str, tuple[np.ndarray, np.ndarray]], float, int]) -> np.ndarray:
-    asks, mean, n_queries = payload
-    out = np.zeros((table.num_rows, n_queries))
+def _score(table: pa.Table, payload: tuple[list[str], list[list[tuple[int, float]]], float], best: Best) -> None:
+    used, asks, mean = payload
+    n = table.num_rows
     lists, counts = table.column("terms").combine_chunks(), table.column("counts").combine_chunks()
-    row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
-    flat = lists.flatten().dictionary_encode()
-    names = flat.dictionary.to_pylist()
-    code = flat.indices.to_numpy()
-    known = np.array([t in asks for t in names] or [False])[code]
+    row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    code = pc.index_in(lists.flatten(), pa.array(used, pa.string())).fill_null(-1).to_numpy()
+    known = code >= 0
     row, code, tf = row[known], code[known], counts.flatten().to_numpy()[known].astype(float)
     dl = table.column("dl").to_numpy().astype(float)[row]
     value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
     order = np.argsort(code, kind="stable")
     row, code, value = row[order], code[order], value[order]
-    for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1) if len(code) else ():
-        query, weight = asks[names[code[part[0]]]]
-        out[np.ix_(row[part], query)] += np.multiply.outer(value[part], weight)
-    return out
+    end = np.cumsum(np.bincount(code, minlength=len(used)))
+    first, end = np.append(0, end[:-1]).tolist(), end.tolist()
+    there = np.flatnonzero(np.diff(np.append(0, end))).tolist()
+    most = np.zeros(len(used))
+    most[there] = np.maximum.reduceat(value, [first[t] for t in there]) if there else 0.0
+    most = most.tolist()
+    wide: dict[int, np.ndarray] = {}  # values of terms that many rows have, by row
+
+    def by_row(t: int) -> np.ndarray | None:
+        if (end[t] - first[t]) * 4 < n:
+            return None
+        if t not in wide:
+            wide[t] = np.zeros(n)
+            wide[t][row[first[t] : end[t]]] = value[first[t] : end[t]]
+        return wide[t]
+
+    total = np.empty(n)
+    for s in range(0, len(asks), GROUP):
+        bound, found = best.bound(slice(s, s + GROUP)).tolist(), []
+        for q, least in enumerate(bound, s):
+            own = sorted((w * most[t], t, w) for t, w in asks[q] if end[t] > first[t])
+            if not own or any(w < 0 for _, _, w in own):
+                rest, rare = 0, own
+            else:
+                rest = 0  # as many of the least terms as can't make a kept chunk alone
+                lift = 0.0
+                while rest < len(own) and (lift + own[rest][0] < least if best.full[q] else (end[own[rest][1]] - first[own[rest][1]]) * 4 >= n):
+                    lift += own[rest][0]
+                    rest += 1
+                rare = own[rest:]
+            if not rare and best.full[q]:
+                continue
+            total.fill(0.0)
+            for _, t, w in rare:
+                values = by_row(t)
+                if values is None:
+                    total[row[first[t] : end[t]]] += w * value[first[t] : end[t]]
+                else:
+                    total += w * values
+            if not best.full[q]:  # what the k best have of these terms alone, all have at least
+                least = max(least, float(kth(total[None], best.k)[0]) - 1e-8)
+            lift = sum(x for x, _, _ in own[:rest])
+            at = np.flatnonzero(total >= least - lift * (1 + 1e-12) - 1e-9)
+            score = total[at]
+            for x, t, w in reversed(own[:rest]):
+                lift -= x
+                values = by_row(t)
+                if values is None:
+                    rows = row[first[t] : end[t]]
+                    place = np.minimum(np.searchsorted(rows, at), len(rows) - 1)
+                    score += np.where(rows[place] == at, w * value[first[t] : end[t]][place], 0.0)
+                else:
+                    score += w * values[at]
+                may = score >= least - lift * (1 + 1e-12) - 1e-9
+                if not may.all():
+                    at, score = at[may], score[may]
+            if len(at):
+                found.append((q, at, score))
+        if found:
+            best.meet(np.repeat([q for q, _, _ in found], [len(at) for _, at, _ in found]), np.concatenate([at for _, at, _ in found]), np.concatenate([x for _, _, x in found]))

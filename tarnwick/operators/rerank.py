@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +26,20 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(words(query), words(text))) / 10.0
 
 
+def pair_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, chunk_id, rerank_score by the default scorer: as ``overlap_score``, but words are cut where white space is as Python sees it, which is faster by far."""
+    lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    met = pairs.join(questions.select("qid", lower("question").alias("question")), "qid").join(chunks.select("chunk_id", lower("text").alias("text")), "chunk_id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = zip(b.column("question").to_pylist(), b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("chunk_id"), pa.array([len(set(q.split()).intersection(t.split())) / 10.0 for q, t in both], pa.float64())], names=["qid", "chunk_id", "rerank_score"])
+
+    scored = met.select("qid", "chunk_id", "question", "text").mapInArrow(score, "qid string, chunk_id string, rerank_score double")
+    return scored.withColumn("rerank_score", F.round("rerank_score", DIGITS))
+
+
 def scored_by(model: PairScorer, query: Column, text: Column, batch: int = 16) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tarnwick.config import ConfigError, RetrievalConfig, Settings
 from tarnwick.functions.embedding import Embedder, HashEmbedder, embed
 from tarnwick.functions.text import title as stated_title
-from tarnwick.operators import answer, bm25, dense, fusion
+from tarnwick.operators import answer, bm25, dense, fusion, ranking
 from tarnwick.operators.filters import filter_chunks
-from tarnwick.operators.rerank import PairScorer, rerank, shortlist
-from tarnwick.runtime import stage
+from tarnwick.operators.rerank import PairScorer, pair_scores, rerank, shortlist
+from tarnwick.runtime import stage, unstage
 
 
 def candidates(
@@ -162,22 +162,38 @@ def ablate(chunks: Mapping[str, DataFrame] | DataFrame, questions: DataFrame, co
 
     ``chunks``: by chunk strategy, stored; or one table for all.  Those that need a language model
     are skipped.  Dense and lexical lists are made once per strategy and depth, and shared; so is the index.
+    A pair of question and chunk is scored once, and texts meet the final results alone.
     """
-    out, lists = None, {}
+    final, lists = None, {}
     for c in configs:
         if c.expansion != "none":
             continue
         if not isinstance(chunks, DataFrame) and c.chunk_strategy not in chunks:
             raise ConfigError(f"no chunks by {c.chunk_strategy}")
-        own = chunks if isinstance(chunks, DataFrame) else chunks[c.chunk_strategy]
-        key = (c.chunk_strategy, c.top_k_dense, c.top_k_lexical)
-        if key not in lists:
-            both, _ = candidates(own, questions, replace(c, use_dense=True, use_lexical=True), model)
-            lists[key] = stage(both)
-        names = [n for n, on in (("dense", c.use_dense), ("lexical", c.use_lexical)) if on]
-        found = ranked(lists[key].where(F.col("retriever").isin(*names)), len(names), own, questions, c)
-        one = found.select(F.lit(c.label).alias("config"), "qid", "chunk_id", "text", "score", "rerank_score", "final_rank")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        lists.setdefault("" if isinstance(chunks, DataFrame) else c.chunk_strategy, {}).setdefault((c.top_k_dense, c.top_k_lexical), []).append(c)
+    if not lists:
         raise ConfigError("no configuration can run without a language model")
-    return out
+    for strategy, depths in lists.items():
+        own = chunks if isinstance(chunks, DataFrame) else chunks[strategy]
+        index = bm25.ensure(own)
+        vectors = own if "embedding" in own.columns else stage(own.select("chunk_id", embed(F.col("text"), model or HashEmbedder()).alias("embedding")))  # once for all blocks
+        short = None
+        for same in depths.values():
+            both, _ = candidates(vectors, questions, replace(same[0], use_dense=True, use_lexical=True), model, index=index)
+            both = stage(both)
+            for c in same:
+                names = [n for n, on in (("dense", c.use_dense), ("lexical", c.use_lexical)) if on]
+                fused = fusion.fuse(both.where(F.col("retriever").isin(*names)), len(names), c.fusion, c.rrf_k, c.dense_weight)
+                cut = fused.where(F.col("fused_rank") <= (c.rerank_candidates if c.use_rerank else c.final_top_k))
+                one = cut.select(F.lit(c.label).alias("config"), F.lit(c.use_rerank).alias("again"), F.lit(c.final_top_k).alias("k"), "qid", "chunk_id", "score", "fused_rank")
+                short = one if short is None else short.unionByName(one)
+        short = stage(short)
+        if vectors is not own:
+            unstage(vectors)
+        scores = pair_scores(short.where("again").select("qid", "chunk_id").distinct(), questions, own)
+        again = ranking.rank(short.where("again").join(scores, ["qid", "chunk_id"]), "rerank_score", "final_rank", "config", "qid").withColumn("score", F.col("rerank_score"))
+        plain = short.where("NOT again").withColumns({"rerank_score": F.lit(None).cast("double"), "final_rank": F.col("fused_rank")})
+        kept = again.unionByName(plain).where("final_rank <= k").join(own.select("chunk_id", "text"), "chunk_id")
+        kept = kept.select("config", "qid", "chunk_id", "text", "score", "rerank_score", "final_rank")
+        final = kept if final is None else final.unionByName(kept)
+    return final
