@@ -325,7 +325,7 @@ ABLATION = [
 
 def _ablated(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """Hits of every configuration over the golden questions, the documents' chunks by strategy, and the questions."""
-    docs, asked = table(spark, d, "documents"), stage(golden(spark, d))
+    docs, asked = table(spark, d, "documents").select("doc_id", "text"), stage(golden(spark, d))
     chunks = {s: stage(chunking.chunker(s, embedder=HashEmbedder())(docs).select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "text")) for s in dict.fromkeys(c.chunk_strategy for c in ABLATION)}
     return retrieval.ablate(chunks, asked, ABLATION), chunks, asked
 
@@ -337,13 +337,17 @@ def ablation_hits(spark: SparkSession, d: str) -> DataFrame:
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     """Means of the five metrics per configuration, over the answerable golden questions."""
     found, chunks, asked = _ablated(spark, d)
-    found = stage(found.withColumnRenamed("final_rank", "rank"))
+    strategy = F.create_map(*[F.lit(x) for c in ABLATION for x in (c.label, c.chunk_strategy)])[F.col("config")]
+    found = stage(found.withColumns({"rank": F.col("final_rank"), "of": F.concat_ws(":", strategy, "chunk_id")}))
+    # The same result of several configurations is held against the spans once; strategies may give different texts one id.
+    each = found.select("qid", F.col("of").alias("chunk_id"), "text", F.lit(0).alias("rank")).dropDuplicates(["qid", "chunk_id"])
+    judged = evaluate.relevance(each, asked).select("qid", F.col("chunk_id").alias("of"), "relevant")
+    judged = stage(found.select("config", "qid", "chunk_id", "rank", "of").join(judged, ["qid", "of"]))
     totals = {s: stage(evaluate.relevant_total(c, asked)) for s, c in chunks.items()}
     answerable = asked.where(F.coalesce("category", F.lit("")) != "negative").select("qid")
     out = None
     for c in ABLATION:
-        flags = evaluate.relevance(found.where(F.col("config") == c.label), asked)
-        rows = evaluate.retrieval_metrics(flags, totals[c.chunk_strategy], c.final_top_k).join(answerable, "qid", "left_semi")
+        rows = evaluate.retrieval_metrics(judged.where(F.col("config") == c.label), totals[c.chunk_strategy], c.final_top_k).join(answerable, "qid", "left_semi")
         means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 9).alias(m) for m in evaluate.METRICS]
         one = rows.agg(F.count("*").alias("n"), *means).select(F.lit(c.label).alias("config"), "n", *evaluate.METRICS)
         out = one if out is None else out.unionByName(one)
